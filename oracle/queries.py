@@ -152,3 +152,25 @@ SELECT {PAIR_KEYS}, {r6(_m, 'score')} FROM scored"""
     ORACLE[f"{_m}_summary"] = f"""WITH {PAIRS}, {SCORED},
 m AS (SELECT ds_name, trial, avg({_m}) AS tm FROM scored GROUP BY ALL)
 SELECT ds_name, {r6('avg(tm)', 'avg')}, {r6('stddev_pop(tm)', 'std')} FROM m GROUP BY ALL"""
+
+# ---------------------------------------------------------------- D: diversity
+ORACLE["ngram_diversity"] = f"""
+WITH t AS (SELECT ds_name, doc_id, pos, unnest(range(len(tk))) AS k, unnest(tk) AS token
+           FROM (SELECT *, {P.tokens('nl_instructions')} AS tk FROM ({S_DOCS}))),
+p AS (SELECT ds_name, token, row_number() OVER (PARTITION BY ds_name ORDER BY doc_id, pos, k) AS p FROM t),
+g AS (SELECT ds_name, token AS g1,
+        token || ' ' || lead(token, 1) OVER w AS g2,
+        token || ' ' || lead(token, 1) OVER w || ' ' || lead(token, 2) OVER w AS g3,
+        token || ' ' || lead(token, 1) OVER w || ' ' || lead(token, 2) OVER w || ' ' || lead(token, 3) OVER w AS g4
+      FROM p WINDOW w AS (PARTITION BY ds_name ORDER BY p)),
+d AS (SELECT ds_name, count(*) AS total, count(DISTINCT g1) AS d1, count(DISTINCT g2) AS d2,
+             count(DISTINCT g3) AS d3, count(DISTINCT g4) AS d4 FROM g GROUP BY ds_name)
+SELECT ds_name, {r6('''d1 / total + (CASE WHEN total > 1 THEN d2 / (total - 1) ELSE 0 END)
+  + (CASE WHEN total > 2 THEN d3 / (total - 2) ELSE 0 END) + (CASE WHEN total > 3 THEN d4 / (total - 3) ELSE 0 END)''',
+  'ngram_diversity')}, total AS n_tokens FROM d"""
+
+HPAIRS = P.pairs_ctes(S_DOCS, distinct=True)
+for _key, _m in (("homogenization_rougel", "rouge_l"), ("homogenization_jaccard", "jaccard")):
+    ORACLE[_key] = f"""WITH {HPAIRS}, {SCORED},
+m AS (SELECT ds_name, trial, avg({_m}) AS tm FROM scored GROUP BY ALL)
+SELECT ds_name, {r6('avg(tm)', 'homogenization')}, {r6('stddev_pop(tm)', 'std')} FROM m GROUP BY ALL"""

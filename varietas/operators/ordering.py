@@ -95,10 +95,11 @@ def prefix_sum(df: DataFrame, weight: Column | str, order: Sequence, by: Sequenc
     totals = r.groupBy("_part", *keys).agg(F.sum("_w").alias("_tot"))
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_part") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0)))
+    offsets = totals.withColumn("_poff", F.coalesce(F.sum("_tot").over(w), F.lit(0)))
     sizes = totals.groupBy(*keys).agg(F.sum("_tot").alias("total"))
-    out = (local.join(broadcast_if_small(offsets.select("_part", *keys, "_off")),
+    out = (local.join(broadcast_if_small(offsets.select("_part", *keys, "_poff")),
                       on=["_part", *keys])
-           .withColumn(out_col, F.col("_off") + F.col("_local"))
-           .drop("_part", "_off", "_local", "_mid", "_w"))
+           .withColumn("_pres", F.col("_poff") + F.col("_local"))
+           .drop("_part", "_poff", "_local", "_mid", "_w")
+           .withColumnRenamed("_pres", out_col))
     return out, sizes

@@ -199,3 +199,30 @@ def _metric_queries(metric: str):
 
 for _m in ("bleu", "rouge_l", "rouge_1", "levenshtein", "jaccard"):
     _metric_queries(_m)
+
+
+# ---------------------------------------------------------------- D: diversity
+from varietas.operators import diversity  # noqa: E402
+
+
+@query("ngram_diversity")
+def q_ngram_diversity(spark, sf_dir):
+    out = diversity.ngram_diversity(sentences(spark, sf_dir), n=4)
+    return out.select("ds_name", r6("ngram_diversity"), "n_tokens")
+
+
+@query("compression_ratio")
+def q_compression_ratio(spark, sf_dir):
+    out = diversity.compression_ratio(sentences(spark, sf_dir))
+    return out.select("ds_name", "raw_bytes", "gz_bytes", "n_blocks", r6("compression_ratio"))
+
+
+def _homogenization(measure):
+    def q(spark, sf_dir):
+        out = diversity.homogenization(sentences(spark, sf_dir), measure, N_SAMPLES, TRIALS, SEED)
+        return out.select("ds_name", r6("homogenization"), r6("std"))
+    return q
+
+
+QUERIES["homogenization_rougel"] = _homogenization("rouge_l")
+QUERIES["homogenization_jaccard"] = _homogenization("jaccard")
