@@ -174,3 +174,85 @@ for _key, _m in (("homogenization_rougel", "rouge_l"), ("homogenization_jaccard"
     ORACLE[_key] = f"""WITH {HPAIRS}, {SCORED},
 m AS (SELECT ds_name, trial, avg({_m}) AS tm FROM scored GROUP BY ALL)
 SELECT ds_name, {r6('avg(tm)', 'homogenization')}, {r6('stddev_pop(tm)', 'std')} FROM m GROUP BY ALL"""
+
+# ---------------------------------------------------------------- N: annotation
+from varietas.operators.annotate import _DEP_LABEL  # noqa: E402
+
+TAGGED = P.tagged_ctes(S_DOCS)
+ANN = P.annotated_ctes(S_DOCS)
+
+ORACLE["pos_tag"] = f"""WITH {TAGGED}
+SELECT ds_name, doc_id, pos, k, token, tag, upos FROM tagged2"""
+
+ORACLE["learn_lexicon"] = f"""WITH {TAGGED},
+c AS (SELECT lower(token) AS token, tag, count(*) AS n FROM tagged2 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY n DESC, tag) AS rr FROM c)
+SELECT token, tag, n FROM r WHERE rr = 1"""
+
+for _key, _u, _col in (("extract_nouns", "NOUN", "nouns"), ("extract_verbs", "VERB", "verbs")):
+    ORACLE[_key] = f"""WITH {ANN}
+SELECT ds_name, doc_id, pos,
+  array_to_string(list_filter(list_transform(range(1, len(tk) + 1), lambda i: CASE WHEN up[i] = '{_u}' THEN tk[i] END), lambda x: x IS NOT NULL), ' ') AS {_col},
+  CAST(len(list_filter(up, lambda x: x = '{_u}')) AS INTEGER) AS n_{_col}
+FROM ann"""
+
+_sel = lambda u: (f"array_to_string(list_filter(list_transform(range(1, len(tk) + 1), lambda i: "
+                  f"CASE WHEN up[i] = '{u}' THEN tk[i] END), lambda x: x IS NOT NULL), ' ')")
+ORACLE["add_features"] = f"""WITH {ANN}
+SELECT ds_name, doc_id, pos, nl_instructions, nl_instructions AS spacy_parse,
+  {_sel('NOUN')} AS nouns, {_sel('VERB')} AS verbs, CAST(len(tk) AS INTEGER) AS seq_len
+FROM ann"""
+
+ORACLE["tag_vocabulary"] = f"""WITH {TAGGED}
+SELECT tag, count(*) AS n FROM tagged2 GROUP BY tag"""
+
+ORACLE["shallow_tree"] = f"""WITH {ANN},
+r AS (SELECT *, {P.ranks('tg')} AS rk FROM ann),
+r2 AS (SELECT *, {P.starts('rk')} AS st FROM r)
+SELECT ds_name, doc_id, pos, {P.shallow_tree('tk', 'tg', 'rk', 'st')} AS constituency_parse_tree FROM r2"""
+
+_dep_case = " ".join(f"WHEN {P._q(k)} THEN {P._q(v)}" for k, v in _DEP_LABEL.items())
+ORACLE["dep_tree_string"] = f"""WITH {ANN},
+r AS (SELECT *, {P.ranks('tg')} AS rk,
+        coalesce(list_position(list_transform(tg, lambda x: starts_with(x, 'VB')), true) - 1, 0) AS root FROM ann),
+r2 AS (SELECT *, {P.starts('rk')} AS st FROM r),
+d AS (SELECT ds_name, doc_id, pos, list_transform(range(0, len(tk)), lambda i:
+        'head: ' || (CASE WHEN i = root THEN tk[i + 1]
+                          WHEN rk[i + 1] > 0 AND coalesce(list_filter(st, lambda x: x > i)[1], len(tk)) - 1 <> i
+                               THEN tk[coalesce(list_filter(st, lambda x: x > i)[1], len(tk))]
+                          ELSE tk[root + 1] END)
+        || ' dep: ' || (CASE WHEN i = root THEN 'ROOT'
+                          WHEN rk[i + 1] > 0 AND coalesce(list_filter(st, lambda x: x > i)[1], len(tk)) - 1 <> i
+                               AND rk[i + 1] = 3 THEN 'compound'
+                          WHEN rk[i + 1] > 0 AND coalesce(list_filter(st, lambda x: x > i)[1], len(tk)) - 1 <> i
+                               THEN coalesce(CASE tg[i + 1] {_dep_case} END, 'dep')
+                          WHEN rk[i + 1] = 3 AND i > root THEN 'obj'
+                          WHEN rk[i + 1] = 3 THEN 'nsubj'
+                          ELSE coalesce(CASE tg[i + 1] {_dep_case} END, 'dep') END)) AS parts
+      FROM r2)
+SELECT ds_name, doc_id, pos, array_to_string(parts, '; ') AS dep_parse_tree FROM d"""
+
+# ------------------------------------------------- A8: common parses
+PARSES = f"""{ANN},
+p AS (SELECT ds_name, doc_id, pos, nl_instructions, array_to_string(tg, ' ') AS parse FROM ann),
+fs AS (SELECT ds_name, parse, doc_id AS fd, pos AS fp, nl_instructions AS exemplar FROM
+       (SELECT *, row_number() OVER (PARTITION BY ds_name, parse ORDER BY doc_id, pos) AS r FROM p) WHERE r = 1),
+codes AS (SELECT ds_name, parse, exemplar, row_number() OVER (PARTITION BY ds_name ORDER BY fd, fp) - 1 AS code FROM fs),
+cnt AS (SELECT ds_name, parse, count(*) AS n FROM p GROUP BY ALL),
+top AS (SELECT cnt.*, CAST(row_number() OVER (PARTITION BY ds_name ORDER BY n DESC, parse) AS INTEGER) AS rank FROM cnt)"""
+
+ORACLE["dictionary_encode"] = f"""WITH {PARSES}
+SELECT p.ds_name, p.doc_id, p.pos, p.parse, c.code FROM p JOIN codes c USING (ds_name, parse)"""
+
+ORACLE["top_parses"] = f"""WITH {PARSES}
+SELECT ds_name, parse, n, rank FROM top WHERE rank <= 25"""
+
+ORACLE["top_parse_exemplar"] = f"""WITH {PARSES}
+SELECT t.ds_name, t.parse, t.n, f.exemplar, t.rank FROM top t JOIN fs f USING (ds_name, parse) WHERE t.rank <= 25"""
+
+ORACLE["parse_histogram"] = f"""WITH {PARSES}
+SELECT p.ds_name, c.code, count(*) AS n FROM p JOIN codes c USING (ds_name, parse) GROUP BY ALL"""
+
+ORACLE["common_parses"] = f"""WITH {PARSES}
+SELECT t.ds_name, t.parse, t.n, c.exemplar, c.code, t.rank FROM top t JOIN codes c USING (ds_name, parse)
+WHERE t.rank <= 25"""

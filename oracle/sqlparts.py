@@ -180,3 +180,70 @@ pairs AS (SELECT p.ds_name, p.trial, p.sid, p.q_idx, p.r_idx,
           b.doc_id AS r_doc_id, b.pos AS r_pos, b.nl_instructions AS r_nl_instructions
           FROM picks p JOIN ix a ON a.ds_name = p.ds_name AND a.row_idx = p.q_idx
           JOIN ix b ON b.ds_name = p.ds_name AND b.row_idx = p.r_idx)"""
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def tagged_ctes(s_sql: str) -> str:
+    """CTEs ``s, t, lex, b, tagged``: one row per token with tag and upos,
+    mirroring ``varietas.operators.annotate`` (same lexicon dict)."""
+    from varietas.operators.annotate import AUX_WORDS, LEXICON, UPOS
+    lex_rows = ", ".join(f"({_q(w)}, {_q(t)})" for w, t in LEXICON.items())
+    upos_case = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in UPOS.items())
+    aux = ", ".join(_q(w) for w in AUX_WORDS)
+    lt = "lower(token)"
+    rule = (f"CASE WHEN regexp_matches(token, '^[0-9]+$') THEN 'CD' "
+            f"WHEN k > 0 AND regexp_matches(token, '^\\p{{Lu}}') THEN 'NNP' "
+            f"WHEN length({lt}) > 4 AND ends_with({lt}, 'ing') THEN 'VBG' "
+            f"WHEN length({lt}) > 3 AND ends_with({lt}, 'ed') THEN 'VBD' "
+            f"WHEN length({lt}) > 3 AND ends_with({lt}, 'ly') THEN 'RB' "
+            f"WHEN length({lt}) > 4 AND regexp_matches({lt}, '(able|ible|ful|ous|ive|less|ical|ish)$') THEN 'JJ' "
+            f"WHEN length({lt}) > 3 AND ends_with({lt}, 's') AND NOT ends_with({lt}, 'ss') THEN 'NNS' "
+            f"ELSE 'NN' END")
+    return f"""s AS ({s_sql}),
+t AS (SELECT ds_name, doc_id, pos, nl_instructions, CAST(unnest(range(len(tk))) AS INTEGER) AS k, unnest(tk) AS token
+      FROM (SELECT *, {tokens('nl_instructions')} AS tk FROM s)),
+lex(w, lt) AS (VALUES {lex_rows}),
+b AS (SELECT t.*, lex.lt AS lexhit, coalesce(lex.lt, {rule}) AS base FROM t LEFT JOIN lex ON lex.w = lower(t.token)),
+tagged AS (SELECT ds_name, doc_id, pos, nl_instructions, k, token,
+    CASE WHEN lexhit IS NULL AND k > 0 AND base = 'NN'
+              AND lag(base) OVER (PARTITION BY ds_name, doc_id, pos ORDER BY k) IN ('TO', 'MD') THEN 'VB'
+         ELSE base END AS tag
+  FROM b),
+tagged2 AS (SELECT *, CASE WHEN lower(token) IN ({aux}) THEN 'AUX' ELSE coalesce(CASE tag {upos_case} END, 'X') END AS upos
+  FROM tagged)"""
+
+
+def annotated_ctes(s_sql: str) -> str:
+    """``tagged_ctes`` plus ``ann``: per sentence token/tag/upos lists
+    (sentences with no token keep empty lists)."""
+    return f"""{tagged_ctes(s_sql)},
+agg AS (SELECT ds_name, doc_id, pos, list(token ORDER BY k) AS tk, list(tag ORDER BY k) AS tg,
+               list(upos ORDER BY k) AS up FROM tagged2 GROUP BY ds_name, doc_id, pos),
+ann AS (SELECT s.ds_name, s.doc_id, s.pos, s.nl_instructions,
+               coalesce(agg.tk, []::VARCHAR[]) AS tk, coalesce(agg.tg, []::VARCHAR[]) AS tg,
+               coalesce(agg.up, []::VARCHAR[]) AS up
+        FROM s LEFT JOIN agg USING (ds_name, doc_id, pos))"""
+
+
+def ranks(tg: str) -> str:
+    return (f"list_transform({tg}, lambda x: CASE WHEN x = 'DT' THEN 1 WHEN x IN ('JJ', 'JJR', 'JJS') THEN 2 "
+            f"WHEN x IN ('NN', 'NNS', 'NNP', 'NNPS') THEN 3 ELSE 0 END)")
+
+
+def starts(rk: str) -> str:
+    """0-based chunk start indexes from a rank-list column."""
+    return (f"list_filter(range(0, len({rk})), lambda i: i = 0 OR {rk}[i + 1] = 0 OR {rk}[i] = 0 "
+            f"OR {rk}[i + 1] < {rk}[i] OR ({rk}[i + 1] = 1 AND {rk}[i] = 1))")
+
+
+def shallow_tree(tk: str, tg: str, rk: str, st: str) -> str:
+    lv = f"list_transform(range(1, len({tk}) + 1), lambda i: '(' || {tg}[i] || ' ' || {tk}[i] || ')')"
+    e = f"(CASE WHEN c < len({st}) THEN {st}[c + 1] ELSE len({tk}) END)"
+    a = f"{st}[c]"
+    body = f"array_to_string(({lv})[{a} + 1:{e}], ' ')"
+    chunk = f"CASE WHEN list_max({rk}[{a} + 1:{e}]) = 3 THEN '(NP ' || {body} || ')' ELSE {body} END"
+    return (f"(CASE WHEN len({tk}) = 0 THEN '(S )' ELSE '(S ' || array_to_string("
+            f"list_transform(range(1, len({st}) + 1), lambda c: {chunk}), ' ') || ')' END)")

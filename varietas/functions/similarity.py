@@ -40,6 +40,12 @@ def clipped_overlap(a, b) -> Column:
     return F.size(F.array_intersect(occurrence_tags(a), occurrence_tags(b)))
 
 
+def bind_all(body, **cols: Column) -> Column:
+    """Evaluate each named column once and call ``body(**values)``."""
+    st = F.struct(*[c.alias(k) for k, c in cols.items()])
+    return F.transform(F.array(st), lambda p: body(**{k: p[k] for k in cols}))[0]
+
+
 def bind(a: Column, b: Column, body) -> Column:
     """Evaluate ``a`` and ``b`` once and pass them to ``body(a, b)``."""
     return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))),

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varietas.functions.text import tokenize
+from varietas.operators.ordering import dense_index
 
 TEXT = "nl_instructions"
 DEFAULT_BY = ("ds_name",)
@@ -203,17 +204,34 @@ def bigram_frequency(df: DataFrame, col: str = TEXT, by: Sequence[str] | None =
                            bucket_col="bigram")
 
 
-def dictionary_encode(df: DataFrame, col: str, order_col: str, out_col: str = "code",
-                      by: Sequence[str] | None = None) -> DataFrame:
-    """Code every distinct value by its first appearance (0, 1, ...).
+def _first_seen(df: DataFrame, keys: list[str], col: str, order_cols: Sequence[str]) -> Column:
+    return F.min(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order_cols)]))
+
+
+def value_codes(df: DataFrame, col: str, order_cols: Sequence[str], out_col: str = "code",
+                by: Sequence[str] | None = None, extra_aggs: Sequence[Column] = ()) -> DataFrame:
+    """One row per distinct value with its first-appearance code (0, 1, ...).
 
-    The ranking window runs over the *distinct values* (one row each, with
-    the first ``order_col`` where it appears), then codes join back.
+    The distinct values are ranked by their first ``order_cols`` with the
+    range-partitioned dense index, so no window ever holds all distinct
+    values of a group.
     """
     keys = _by(by)
-    first = df.groupBy(*keys, col).agg(F.min(order_col).alias("_first"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_first")
-    codes = first.withColumn(out_col, F.row_number().over(w) - 1).drop("_first")
+    first = df.groupBy(*keys, col).agg(_first_seen(df, keys, col, order_cols).alias("_first"),
+                                       *extra_aggs)
+    first = first.select("*", *[F.col(f"_first._o{i}").alias(f"_f{i}")
+                                for i in range(len(order_cols))]).drop("_first")
+    fcols = [f"_f{i}" for i in range(len(order_cols))]
+    indexed, _ = dense_index(first, fcols, keys, out_col=out_col)
+    return indexed.drop(*fcols)
+
+
+def dictionary_encode(df: DataFrame, col: str, order_cols: Sequence[str], out_col: str = "code",
+                      by: Sequence[str] | None = None) -> DataFrame:
+    """Code every distinct value by its first appearance (0, 1, ...)
+    and join the codes back to the rows (equi-join on the value)."""
+    keys = _by(by)
+    codes = value_codes(df, col, order_cols, out_col, keys)
     return df.join(codes, on=[*keys, col], how="left")
 
 
@@ -223,12 +241,25 @@ def value_counts(df: DataFrame, col: str, by: Sequence[str] | None = None) -> Da
 
 
 def top_values(df: DataFrame, col: str, k: int = 25, by: Sequence[str] | None = None,
-               exemplar_col: str | None = None, order_col: str | None = None) -> DataFrame:
-    """The k most frequent values and, optionally, the first row's
-    ``exemplar_col`` for each (``min_by`` in the same partial aggregate)."""
+               exemplar_col: str | None = None,
+               order_cols: Sequence[str] = ("doc_id", "pos")) -> DataFrame:
+    """The k most frequent values and, optionally, the
+    ``exemplar_col`` of the first row holding each value (``min_by`` in the
+    same partial aggregate)."""
     keys = _by(by)
     aggs = [F.count(F.lit(1)).alias("n")]
     if exemplar_col:
-        aggs.append(F.min_by(exemplar_col, order_col).alias("exemplar"))
+        aggs.append(F.min_by(exemplar_col, F.struct(*order_cols)).alias("exemplar"))
     counts = df.groupBy(*keys, col).agg(*aggs)
     return top_k_per_group(counts, keys, [F.col("n").desc(), F.col(col)], k, bucket_col=col)
+
+
+def common_parses(df: DataFrame, col: str, exemplar_col: str, k: int = 25,
+                  by: Sequence[str] | None = None,
+                  order_cols: Sequence[str] = ("doc_id", "pos")) -> DataFrame:
+    """Code, count and exemplar of the k most frequent parses."""
+    keys = _by(by)
+    codes = value_codes(df, col, order_cols, "code", keys, extra_aggs=[
+        F.count(F.lit(1)).alias("n"),
+        F.min_by(exemplar_col, F.struct(*order_cols)).alias("exemplar")])
+    return top_k_per_group(codes, keys, [F.col("n").desc(), F.col(col)], k, bucket_col=col)

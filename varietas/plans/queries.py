@@ -226,3 +226,98 @@ def _homogenization(measure):
 
 QUERIES["homogenization_rougel"] = _homogenization("rouge_l")
 QUERIES["homogenization_jaccard"] = _homogenization("jaccard")
+
+
+# ---------------------------------------------------------------- N: annotation
+from varietas.operators import annotate  # noqa: E402
+
+SKEYS = ["ds_name", "doc_id", "pos"]
+
+
+def annotated(spark, sf_dir):
+    return annotate.pos_tag(sentences(spark, sf_dir))
+
+
+@query("pos_tag")
+def q_pos_tag(spark, sf_dir):
+    return annotate.tagged_tokens(annotated(spark, sf_dir))
+
+
+@query("learn_lexicon")
+def q_learn_lexicon(spark, sf_dir):
+    return annotate.learn_lexicon(annotate.tagged_tokens(annotated(spark, sf_dir)))
+
+
+@query("extract_nouns")
+def q_extract_nouns(spark, sf_dir):
+    T = annotated(spark, sf_dir)
+    n = annotate.select_by_upos(F.col("tokens"), F.col("upos"), "NOUN")
+    return T.select(*SKEYS, F.array_join(n, " ").alias("nouns"), F.size(n).alias("n_nouns"))
+
+
+@query("extract_verbs")
+def q_extract_verbs(spark, sf_dir):
+    T = annotated(spark, sf_dir)
+    v = annotate.select_by_upos(F.col("tokens"), F.col("upos"), "VERB")
+    return T.select(*SKEYS, F.array_join(v, " ").alias("verbs"), F.size(v).alias("n_verbs"))
+
+
+@query("add_features")
+def q_add_features(spark, sf_dir):
+    out = annotate.add_features(sentences(spark, sf_dir))
+    return out.select(*SKEYS, "nl_instructions", "spacy_parse",
+                      F.array_join("nouns", " ").alias("nouns"),
+                      F.array_join("verbs", " ").alias("verbs"), "seq_len")
+
+
+@query("tag_vocabulary")
+def q_tag_vocabulary(spark, sf_dir):
+    return annotate.tag_vocabulary(annotated(spark, sf_dir))
+
+
+@query("dep_tree_string")
+def q_dep_tree_string(spark, sf_dir):
+    T = annotated(spark, sf_dir)
+    dep = annotate.dependency_struct(F.col("tokens"), F.col("tags"))
+    return T.select(*SKEYS, annotate.dep_tree_string(dep).alias("dep_parse_tree"))
+
+
+@query("shallow_tree")
+def q_shallow_tree(spark, sf_dir):
+    T = annotated(spark, sf_dir)
+    return T.select(*SKEYS, annotate.shallow_tree(F.col("tokens"), F.col("tags"))
+                    .alias("constituency_parse_tree"))
+
+
+# ------------------------------------------------- A8: common parses (tag sequences)
+def parses(spark, sf_dir):
+    T = annotated(spark, sf_dir)
+    return T.select(*SKEYS, "nl_instructions", F.array_join("tags", " ").alias("parse"))
+
+
+@query("dictionary_encode")
+def q_dictionary_encode(spark, sf_dir):
+    return stats.dictionary_encode(parses(spark, sf_dir), "parse", ["doc_id", "pos"]) \
+        .select(*SKEYS, "parse", "code")
+
+
+@query("top_parses")
+def q_top_parses(spark, sf_dir):
+    return stats.top_values(parses(spark, sf_dir), "parse", k=25)
+
+
+@query("top_parse_exemplar")
+def q_top_parse_exemplar(spark, sf_dir):
+    return stats.top_values(parses(spark, sf_dir), "parse", k=25,
+                            exemplar_col="nl_instructions")
+
+
+@query("parse_histogram")
+def q_parse_histogram(spark, sf_dir):
+    enc = stats.dictionary_encode(parses(spark, sf_dir), "parse", ["doc_id", "pos"])
+    return stats.value_counts(enc, "code")
+
+
+@query("common_parses")
+def q_common_parses(spark, sf_dir):
+    return stats.common_parses(parses(spark, sf_dir), "parse", "nl_instructions", k=25)
