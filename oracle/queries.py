@@ -256,3 +256,108 @@ SELECT p.ds_name, c.code, count(*) AS n FROM p JOIN codes c USING (ds_name, pars
 ORACLE["common_parses"] = f"""WITH {PARSES}
 SELECT t.ds_name, t.parse, t.n, c.exemplar, c.code, t.rank FROM top t JOIN codes c USING (ds_name, parse)
 WHERE t.rank <= 25"""
+
+# ---------------------------------------------------------------- D4/D5: patterns, maps
+_pat_draw = P.draw("z.N", f"'{P.SEED}'", "z.ds_name", "t.k // 10000", "(t.k % 10000) // 2500",
+                   "t.k % 2500", "'s'")
+_g4 = lambda col, part: " || ' ' || ".join(
+    [col] + [f"lead({col}, {i}) OVER (PARTITION BY {part} ORDER BY p)" for i in range(1, 4)])
+
+ORACLE["common_patterns"] = f"""WITH {ANN},
+ix AS (SELECT *, row_number() OVER (PARTITION BY ds_name ORDER BY doc_id, pos) - 1 AS row_idx FROM ann),
+sizes AS (SELECT ds_name, count(*) AS N FROM ann GROUP BY ds_name),
+picks AS (SELECT z.ds_name, t.k // 10000 AS trial, (t.k % 10000) // 2500 AS batch, t.k % 2500 AS sid,
+          {_pat_draw} AS s_idx FROM sizes z, range(0, 30000) t(k)),
+sp AS (SELECT p.ds_name, p.trial, p.batch, p.sid, a.tk, a.tg FROM picks p JOIN ix a ON a.ds_name = p.ds_name AND a.row_idx = p.s_idx),
+tok AS (SELECT ds_name, trial, batch, sid, unnest(range(len(tk))) AS k, unnest(tk) AS token, unnest(tg) AS tag FROM sp),
+pp AS (SELECT *, row_number() OVER (PARTITION BY ds_name, trial, batch ORDER BY sid, k) AS p FROM tok),
+g AS (SELECT ds_name, trial, batch, {_g4('tag', 'ds_name, trial, batch')} AS pattern,
+             {_g4('token', 'ds_name, trial, batch')} AS text FROM pp),
+g2 AS (SELECT * FROM g WHERE pattern IS NOT NULL),
+c AS (SELECT ds_name, trial, batch, pattern, count(*) AS n FROM g2 GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ds_name, trial, batch ORDER BY n DESC, pattern) AS r FROM c) WHERE r <= 5)
+SELECT DISTINCT g2.ds_name, g2.pattern, g2.text FROM g2 JOIN top USING (ds_name, trial, batch, pattern)"""
+
+ORACLE["common_patterns_full"] = f"""WITH {TAGGED},
+pp AS (SELECT *, row_number() OVER (PARTITION BY ds_name ORDER BY doc_id, pos, k) AS p FROM tagged2),
+g AS (SELECT ds_name, {_g4('tag', 'ds_name')} AS pattern, {_g4('token', 'ds_name')} AS text FROM pp),
+g2 AS (SELECT * FROM g WHERE pattern IS NOT NULL),
+c AS (SELECT ds_name, pattern, count(*) AS n FROM g2 GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ds_name ORDER BY n DESC, pattern) AS r FROM c) WHERE r <= 5)
+SELECT DISTINCT g2.ds_name, g2.pattern, g2.text FROM g2 JOIN top USING (ds_name, pattern)"""
+
+ORACLE["merge_maps"] = """
+SELECT DISTINCT event_type, key, value FROM (
+  SELECT event_type, unnest(map_keys(m)) AS key, unnest(map_values(m)) AS value
+  FROM (SELECT event_type, CAST(CAST(props AS JSON) AS MAP(VARCHAR, INTEGER)) AS m FROM events))"""
+
+ORACLE["flatten_nested"] = f"""
+SELECT ds_name, doc_id, CAST(len(f) AS INTEGER) AS n_tokens, array_to_string(f, ' ') AS tokens
+FROM (SELECT ds_name, doc_id, flatten(list_transform({P.split_sentences('nl_instructions')},
+        lambda sx: {P.tokens('sx')})) AS f FROM ({P.documents_corpus()}))"""
+
+# ---------------------------------------------------------------- M7 / M5: trees, vectors
+TREES_S = f"""SELECT r2.ds_name, r2.doc_id, r2.pos, {P.shallow_tree('tk', 'tg', 'rk', 'st')} AS nl_instructions
+FROM (SELECT *, {P.starts('rk')} AS st FROM (SELECT *, {P.ranks('tg')} AS rk FROM ann)) r2"""
+
+
+def _subtrees_sql(trees_sql: str) -> str:
+    """CTEs tr, tt, dd, br, ee, sub over (ds_name, doc_id, pos, tree)."""
+    return f"""tr AS (SELECT ds_name, doc_id, pos, regexp_extract_all(tree, '(\\(|\\)|[^\\s()]+)', 1) AS arr FROM ({trees_sql})),
+tt AS (SELECT ds_name, doc_id, pos, unnest(range(len(arr))) AS k, unnest(arr) AS tok FROM tr),
+dd AS (SELECT *, sum(CASE WHEN tok = '(' THEN 1 ELSE -1 END) OVER (PARTITION BY ds_name, doc_id, pos ORDER BY k) AS dep
+       FROM tt WHERE tok IN ('(', ')')),
+br AS (SELECT *, CASE WHEN tok = '(' THEN dep ELSE dep + 1 END AS lv FROM dd),
+ee AS (SELECT *, lead(k) OVER (PARTITION BY ds_name, doc_id, pos, lv ORDER BY k) AS e FROM br),
+sub AS (SELECT ee.ds_name, ee.doc_id, ee.pos, array_to_string(tr.arr[ee.k + 1:ee.e + 1], ' ') AS subtree
+        FROM ee JOIN tr USING (ds_name, doc_id, pos) WHERE ee.tok = '(')"""
+
+
+ORACLE["subtrees"] = f"""WITH {ANN}, {_subtrees_sql(TREES_S.replace('AS nl_instructions', 'AS tree'))}
+SELECT ds_name, doc_id, pos, subtree FROM sub"""
+
+_TPAIRS = P.pairs_ctes(f"WITH {ANN} {TREES_S}")
+_TK = f"""WITH {_TPAIRS},
+trs AS (SELECT DISTINCT ds_name, q_doc_id AS doc_id, q_pos AS pos, q_nl_instructions AS tree FROM pairs
+        UNION SELECT DISTINCT ds_name, r_doc_id, r_pos, r_nl_instructions FROM pairs),
+{_subtrees_sql('SELECT * FROM trs')},
+bags AS (SELECT ds_name, doc_id, pos, subtree, count(*) AS cnt FROM sub GROUP BY ALL),
+tot AS (SELECT ds_name, doc_id, pos, sum(cnt) AS total FROM bags GROUP BY ALL),
+com AS (SELECT p.ds_name, p.trial, p.sid, sum(least(a.cnt, b.cnt)) AS common FROM pairs p
+        JOIN bags a ON a.ds_name = p.ds_name AND a.doc_id = p.q_doc_id AND a.pos = p.q_pos
+        JOIN bags b ON b.ds_name = p.ds_name AND b.doc_id = p.r_doc_id AND b.pos = p.r_pos AND b.subtree = a.subtree
+        GROUP BY ALL),
+kscored AS (SELECT p.*, CASE WHEN coalesce(tq.total, 0) + coalesce(tr2.total, 0) > 0
+              THEN 100.0 * coalesce(c.common, 0) / (coalesce(tq.total, 0) + coalesce(tr2.total, 0)) ELSE 0.0 END AS score
+        FROM pairs p
+        LEFT JOIN tot tq ON tq.ds_name = p.ds_name AND tq.doc_id = p.q_doc_id AND tq.pos = p.q_pos
+        LEFT JOIN tot tr2 ON tr2.ds_name = p.ds_name AND tr2.doc_id = p.r_doc_id AND tr2.pos = p.r_pos
+        LEFT JOIN com c ON c.ds_name = p.ds_name AND c.trial = p.trial AND c.sid = p.sid)"""
+
+ORACLE["treekernel_pairs"] = f"""{_TK}
+SELECT {PAIR_KEYS}, {r6('score', 'score')} FROM kscored"""
+
+ORACLE["treekernel_summary"] = f"""{_TK},
+m AS (SELECT ds_name, trial, avg(score) AS tm FROM kscored GROUP BY ALL)
+SELECT ds_name, {r6('avg(tm)', 'avg')}, {r6('stddev_pop(tm)', 'std')} FROM m GROUP BY ALL"""
+
+_VPAIRS = P.pairs_ctes("SELECT DISTINCT 'embeddings' AS ds_name, vec_id // 8 AS doc_id, 0 AS pos, "
+                       "NULL AS nl_instructions FROM embeddings")
+_BS = f"""WITH {_VPAIRS},
+v AS (SELECT vec_id // 8 AS item, vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+sims AS (SELECT p.ds_name, p.trial, p.sid, a.vec_id AS qv, b.vec_id AS rv,
+           CASE WHEN sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec)) = 0 THEN 0.0
+                ELSE list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))) END AS c
+         FROM pairs p JOIN v a ON a.item = p.q_doc_id JOIN v b ON b.item = p.r_doc_id),
+pp AS (SELECT ds_name, trial, sid, avg(m) AS precision FROM (SELECT ds_name, trial, sid, qv, max(c) AS m FROM sims GROUP BY ALL) GROUP BY ALL),
+rr AS (SELECT ds_name, trial, sid, avg(m) AS recall FROM (SELECT ds_name, trial, sid, rv, max(c) AS m FROM sims GROUP BY ALL) GROUP BY ALL),
+bs AS (SELECT p.ds_name, p.trial, p.sid, p.q_doc_id, p.r_doc_id, pp.precision, rr.recall,
+         CASE WHEN pp.precision + rr.recall <> 0 THEN 2 * pp.precision * rr.recall / (pp.precision + rr.recall) ELSE 0.0 END AS f1
+       FROM pairs p LEFT JOIN pp USING (ds_name, trial, sid) LEFT JOIN rr USING (ds_name, trial, sid))"""
+
+ORACLE["bertscore_pairs"] = f"""{_BS}
+SELECT ds_name, trial, sid, q_doc_id, r_doc_id, {r6('precision', 'precision')}, {r6('recall', 'recall')}, {r6('f1', 'f1')} FROM bs"""
+
+ORACLE["bertscore_summary"] = f"""{_BS},
+m AS (SELECT ds_name, trial, avg(f1) AS tm FROM bs GROUP BY ALL)
+SELECT ds_name, {r6('avg(tm)', 'avg')}, {r6('stddev_pop(tm)', 'std')} FROM m GROUP BY ALL"""

@@ -321,3 +321,98 @@ def q_parse_histogram(spark, sf_dir):
 @query("common_parses")
 def q_common_parses(spark, sf_dir):
     return stats.common_parses(parses(spark, sf_dir), "parse", "nl_instructions", k=25)
+
+
+# ---------------------------------------------------------------- D4/D5: patterns, maps
+from varietas.operators import patterns  # noqa: E402
+
+
+@query("common_patterns")
+def q_common_patterns(spark, sf_dir):
+    return patterns.common_patterns(annotated(spark, sf_dir), n=4, top_k=5, n_samples=10000,
+                                    batches=4, trials=3, seed=SEED)
+
+
+@query("common_patterns_full")
+def q_common_patterns_full(spark, sf_dir):
+    return patterns.common_patterns_full(annotated(spark, sf_dir), n=4, top_k=5)
+
+
+@query("patterns_json")
+def q_patterns_json(spark, sf_dir):
+    return patterns.patterns_json(q_common_patterns(spark, sf_dir))
+
+
+@query("merge_maps")
+def q_merge_maps(spark, sf_dir):
+    ev = corpus.read_table(spark, sf_dir, "events")
+    m = F.from_json("props", "map<string,int>")
+    return patterns.merge_maps(ev.select("event_type", m.alias("props")), "props", ["event_type"])
+
+
+@query("flatten_nested")
+def q_flatten_nested(spark, sf_dir):
+    d = corpus.documents_corpus(spark, sf_dir)
+    nested = F.transform(split_sentences("nl_instructions"), lambda s: tokenize(s))
+    flat = patterns.flatten_nested(nested, 2)
+    return d.select("ds_name", "doc_id", F.size(flat).alias("n_tokens"),
+                    F.array_join(flat, " ").alias("tokens"))
+
+
+# ---------------------------------------------------------------- M7 / M5: trees, vectors
+from varietas.operators import embeddings, trees  # noqa: E402
+
+TREE = "constituency_parse_tree"
+ITEM_SIZE = 8  # token vectors per item: vec_id div 8 (bounded items)
+
+
+def tree_table(spark, sf_dir):
+    T = annotated(spark, sf_dir)
+    return T.select(*SKEYS, annotate.shallow_tree(F.col("tokens"), F.col("tags")).alias(TREE))
+
+
+@query("subtrees")
+def q_subtrees(spark, sf_dir):
+    return trees.subtrees(tree_table(spark, sf_dir), TREE, SKEYS)
+
+
+def _tree_pairs(spark, sf_dir):
+    pairs = sampling.sample_pairs(tree_table(spark, sf_dir), N_SAMPLES, TRIALS, SEED,
+                                  payload=(TREE,))
+    return trees.treekernel_pairs(pairs, ["ds_name", "trial", "sid"],
+                                  ["ds_name", "q_doc_id", "q_pos"], ["ds_name", "r_doc_id", "r_pos"],
+                                  f"q_{TREE}", f"r_{TREE}")
+
+
+@query("treekernel_pairs")
+def q_treekernel_pairs(spark, sf_dir):
+    return _tree_pairs(spark, sf_dir).select(*PAIR_KEYS, r6("score"))
+
+
+@query("treekernel_summary")
+def q_treekernel_summary(spark, sf_dir):
+    return trees.treekernel_summary(_tree_pairs(spark, sf_dir), ["ds_name"]) \
+        .select("ds_name", r6("avg"), r6("std"))
+
+
+def _vector_pairs(spark, sf_dir):
+    emb = corpus.read_table(spark, sf_dir, "embeddings")
+    item = (F.col("vec_id") / ITEM_SIZE).cast("bigint")
+    items = emb.select(F.lit("embeddings").alias("ds_name"), item.alias("doc_id"),
+                       F.lit(0).alias("pos")).distinct()
+    pairs = sampling.sample_pairs(items, N_SAMPLES, TRIALS, SEED, payload=())
+    vecs = emb.select(item.alias("item"), "vec_id", "embedding")
+    return embeddings.greedy_match_pairs(pairs, vecs, ["ds_name", "trial", "sid"],
+                                         "q_doc_id", "r_doc_id")
+
+
+@query("bertscore_pairs")
+def q_bertscore_pairs(spark, sf_dir):
+    return _vector_pairs(spark, sf_dir).select("ds_name", "trial", "sid", "q_doc_id", "r_doc_id",
+                                               r6("precision"), r6("recall"), r6("f1"))
+
+
+@query("bertscore_summary")
+def q_bertscore_summary(spark, sf_dir):
+    scored = _vector_pairs(spark, sf_dir).withColumnRenamed("f1", "score")
+    return sampling.trial_summary(sampling.trial_means(scored)).select("ds_name", r6("avg"), r6("std"))

@@ -33,6 +33,9 @@ def get_spark(master: str | None = None, app: str = "varietas",
     settings = dict(DEFAULT_CONF)
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the whole cluster
+        settings.setdefault("spark.driver.memory", "16g")
     settings.update(conf or {})
     for k, v in settings.items():
         builder = builder.config(k, v)
