@@ -361,3 +361,52 @@ SELECT ds_name, trial, sid, q_doc_id, r_doc_id, {r6('precision', 'precision')},
 ORACLE["bertscore_summary"] = f"""{_BS},
 m AS (SELECT ds_name, trial, avg(f1) AS tm FROM bs GROUP BY ALL)
 SELECT ds_name, {r6('avg(tm)', 'avg')}, {r6('stddev_pop(tm)', 'std')} FROM m GROUP BY ALL"""
+
+# ---------------------------------------------------------------- S / J: io and jobs
+from varietas.plans.report import LINES, ORDER as REPORT_ORDER  # noqa: E402
+
+ORACLE["scan_corpus"] = P.documents_corpus()
+
+ORACLE["ds_name_from_path"] = ("SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS ds_name "
+                               "FROM pages")
+
+ORACLE["feature_table"] = f"""WITH {ANN},
+r AS (SELECT *, {P.ranks('tg')} AS rk FROM ann),
+r2 AS (SELECT *, {P.starts('rk')} AS st FROM r)
+SELECT ds_name, doc_id, pos, nl_instructions, nl_instructions AS spacy_parse,
+  {_sel('NOUN')} AS nouns, {_sel('VERB')} AS verbs, CAST(len(tk) AS INTEGER) AS seq_len,
+  {P.shallow_tree('tk', 'tg', 'rk', 'st')} AS constituency_parse_tree
+FROM r2"""
+
+
+def _fmt4(x: str) -> str:
+    return f"CAST(CAST(CAST(round({x}, 6) AS DECIMAL(30, 6)) AS DECIMAL(30, 4)) AS VARCHAR)"
+
+
+def _line_sql(metric: str, v: str, s: str | None) -> str:
+    head, _, rest = LINES[metric].partition("{v}")
+    if "{s}" in rest:
+        mid, _, tail = rest.partition("{s}")
+        return f"{P._q(head)} || {v} || {P._q(mid)} || {s} || {P._q(tail)}"
+    return f"{P._q(head)} || {v} || {P._q(rest)}"
+
+
+def _rep(metric: str, sql: str, value: str, std: str | None, integer: bool = False) -> str:
+    v = f"CAST({value} AS BIGINT)::VARCHAR" if integer else _fmt4(value)
+    s = _fmt4(std) if std else None
+    std_col = f"round(CAST({std} AS DOUBLE), 6)" if std else "CAST(NULL AS DOUBLE)"
+    return (f"SELECT ds_name, CAST({REPORT_ORDER[metric]} AS INTEGER) AS ord, '{metric}' AS metric, "
+            f"round(CAST({value} AS DOUBLE), 6) AS value, {std_col} AS std, "
+            f"{_line_sql(metric, v, s)} AS line FROM ({sql}) q")
+
+
+_report_parts = [
+    _rep("unique_commands", ORACLE["unique_commands"], "n_unique", None, True),
+    _rep("unique_unigrams", ORACLE["unique_unigrams"], "n_unigrams", None, True),
+    *[_rep(m, f"SELECT * FROM ts WHERE metric = '{m}'", "avg", "std")
+      for m in ("rouge_l", "rouge_1", "bleu", "levenshtein", "jaccard")],
+    _rep("homogenization", ORACLE["homogenization_rougel"], "homogenization", "std"),
+    _rep("ngram_diversity", ORACLE["ngram_diversity"], "ngram_diversity", None),
+]
+ORACLE["report"] = (f"WITH ts AS MATERIALIZED ({ORACLE['trial_summary']})\n"
+                    + "\nUNION ALL\n".join(_report_parts))

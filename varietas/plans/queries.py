@@ -416,3 +416,43 @@ def q_bertscore_pairs(spark, sf_dir):
 def q_bertscore_summary(spark, sf_dir):
     scored = _vector_pairs(spark, sf_dir).withColumnRenamed("f1", "score")
     return sampling.trial_summary(sampling.trial_means(scored)).select("ds_name", r6("avg"), r6("std"))
+
+
+# ---------------------------------------------------------------- S / J: io and jobs
+from varietas.plans import features as feature_job  # noqa: E402
+from varietas.plans import report as report_job  # noqa: E402
+from varietas.sources import io as vio  # noqa: E402
+
+
+@query("scan_corpus")
+def q_scan_corpus(spark, sf_dir):
+    d = vio.read_corpus(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    return d.select(F.col("source").alias("ds_name"), "doc_id", F.col("text").alias("nl_instructions"))
+
+
+@query("ds_name_from_path")
+def q_ds_name_from_path(spark, sf_dir):
+    pages = corpus.read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url",
+                        vio.ds_name_from_path("url", r"^[a-z]+://([^/?#]+)").alias("ds_name"))
+
+
+@query("feature_table")
+def q_feature_table(spark, sf_dir):
+    out = feature_job.build_features(corpus.documents_corpus(spark, sf_dir))
+    return out.select(*SKEYS, "nl_instructions", "spacy_parse",
+                      F.array_join("nouns", " ").alias("nouns"),
+                      F.array_join("verbs", " ").alias("verbs"), "seq_len",
+                      "constituency_parse_tree")
+
+
+@query("report")
+def q_report(spark, sf_dir):
+    return report_job.build_report(sentences(spark, sf_dir), report_job.SQL_METRICS,
+                                   n_samples=N_SAMPLES, trials=TRIALS, seed=SEED)
+
+
+@query("report_full")
+def q_report_full(spark, sf_dir):
+    return report_job.build_report(sentences(spark, sf_dir), report_job.ALL_METRICS,
+                                   n_samples=N_SAMPLES, trials=TRIALS, seed=SEED)
