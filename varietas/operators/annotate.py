@@ -224,6 +224,12 @@ def shallow_tree(tokens: Column, tags: Column) -> Column:
     return bind(leaves, _ranks(tags), build)
 
 
+def shallow_tree_of_text(text: Column) -> Column:
+    """Shallow tree straight from a sentence column (tokenise, tag, bracket)."""
+    toks = tokenize(text)
+    return bind(toks, tag_tokens(toks), shallow_tree)
+
+
 # --------------------------------------------------------- dependency string
 _DEP_LABEL = {"DT": "det", "JJ": "amod", "JJR": "amod", "JJS": "amod", "CD": "nummod",
               "CC": "cc", "IN": "prep", "TO": "aux", "MD": "aux", "RB": "advmod",

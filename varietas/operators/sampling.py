@@ -14,7 +14,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varietas.operators.ordering import BROADCAST_MAX_ROWS, dense_index
+from varietas.operators.ordering import BROADCAST_MAX_ROWS, dense_index, prefix_sum
+from varietas.session import checkpoint
 
 DEFAULT_BY = ("ds_name",)
 ORDER = ("doc_id", "pos")
@@ -67,9 +68,28 @@ def draws(sizes: DataFrame, n_samples: int, trials: int, seed: int, by: Sequence
 
 
 def index_corpus(S: DataFrame, by: Sequence[str] | None = None,
-                 order: Sequence[str] = ORDER) -> tuple[DataFrame, DataFrame]:
-    """Dense index over the key columns only (the text is not shuffled)."""
+                 order: Sequence[str] = ORDER, dense_pos: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Dense index ``row_idx`` over the key columns (the text is not shuffled).
+
+    With ``order = (doc_id, pos)`` and ``pos`` dense (0..n-1 inside a
+    document, as ``clean_and_standardize`` produces), the index is built at
+    document level: one row per document with its sentence count (a
+    partial aggregate: a document's rows come from one input row), a
+    distributed prefix sum over those small rows, then ``row_idx = offset +
+    pos`` exploded back without a shuffle.  Otherwise the general
+    range-partitioned dense index runs over the key rows.
+    """
     keys = _by(by)
+    if dense_pos and tuple(order) == ORDER:
+        # one small row per document, written once: the range partitioner's
+        # bound sampling and shuffle then read this, not the corpus
+        docs = checkpoint(S.groupBy(*keys, "doc_id").agg(F.count(F.lit(1)).alias("_n")))
+        offs, totals = prefix_sum(docs, "_n", ["doc_id"], keys, out_col="_off")
+        indexed = offs.select(*keys, "doc_id", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+                              .alias("pos"), "_off") \
+            .select(*keys, "doc_id", F.col("pos").cast("int").alias("pos"),
+                    (F.col("_off") + F.col("pos")).alias("row_idx"))
+        return indexed, totals.withColumnRenamed("total", "N")
     return dense_index(S.select(*keys, *order), list(order), keys)
 
 

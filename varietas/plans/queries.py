@@ -377,8 +377,12 @@ def q_subtrees(spark, sf_dir):
 
 
 def _tree_pairs(spark, sf_dir):
-    pairs = sampling.sample_pairs(tree_table(spark, sf_dir), N_SAMPLES, TRIALS, SEED,
-                                  payload=(TREE,))
+    # draw from the plain sentence table and parse only the drawn sentences:
+    # the draws are the same (same keys, same order) as drawing from the
+    # tree table, but tagging/bracketing runs on the sample, not the corpus
+    pairs = sampling.sample_pairs(sentences(spark, sf_dir), N_SAMPLES, TRIALS, SEED)
+    pairs = pairs.select("*", *[annotate.shallow_tree_of_text(F.col(f"{s}_nl_instructions"))
+                                .alias(f"{s}_{TREE}") for s in ("q", "r")])
     return trees.treekernel_pairs(pairs, ["ds_name", "trial", "sid"],
                                   ["ds_name", "q_doc_id", "q_pos"], ["ds_name", "r_doc_id", "r_pos"],
                                   f"q_{TREE}", f"r_{TREE}")

@@ -88,12 +88,13 @@ def build_report(S: DataFrame, metrics: Sequence[str] = ALL_METRICS,
         summ = pairwise.pairwise_summaries(S, pm, n_samples, trials, seed, keys)
         for m in pm:
             parts.append(_rows(summ.filter(F.col("metric") == m), keys, m, "avg", "std"))
-    if "treekernel" in metrics or "common_patterns" in metrics:
+    if "common_patterns" in metrics:
         T = annotate.pos_tag(S)
     if "treekernel" in metrics:
-        tt = T.select(*keys, "doc_id", "pos",
-                      annotate.shallow_tree(F.col("tokens"), F.col("tags")).alias(TREE))
-        pairs = sampling.sample_pairs(tt, n_samples, trials, seed, keys, payload=(TREE,))
+        # parse only the drawn sentences (same draws as over a tree table)
+        pairs = sampling.sample_pairs(S, n_samples, trials, seed, keys)
+        pairs = pairs.select("*", *[annotate.shallow_tree_of_text(F.col(f"{s}_{TEXT}"))
+                                    .alias(f"{s}_{TREE}") for s in ("q", "r")])
         scored = trees.treekernel_pairs(pairs, [*keys, "trial", "sid"],
                                         [*keys, "q_doc_id", "q_pos"], [*keys, "r_doc_id", "r_pos"],
                                         f"q_{TREE}", f"r_{TREE}")
