@@ -64,7 +64,11 @@ def draws(sizes: DataFrame, n_samples: int, trials: int, seed: int, by: Sequence
         base = base.withColumn(f"{side}_idx", idx)
         if i == 0:
             first = F.col(f"{side}_idx")
-    return base.drop("N")
+    # the draws come from a tiny sizes table; spread them over an explicit
+    # number of partitions (AQE does not coalesce an explicit count) so the
+    # joins and the per-pair scoring downstream run in parallel
+    n_parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return base.drop("N").repartition(n_parts, *keys, "trial", "sid")
 
 
 def index_corpus(S: DataFrame, by: Sequence[str] | None = None,

@@ -17,19 +17,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Hash-spread an under-partitioned scan (e.g. one file with one row
+    group) over the cluster before per-row text work.  A scan that already
+    has at least ``defaultParallelism`` partitions is left untouched, so on
+    a large input this is a no-op."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
+
+
 def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents``: one dataset per ``source``."""
-    return read_table(spark, sf_dir, "documents").select(
-        F.col("source").alias("ds_name"), "doc_id", F.col("text").alias(TEXT))
+    return spread(read_table(spark, sf_dir, "documents").select(
+        F.col("source").alias("ds_name"), "doc_id", F.col("text").alias(TEXT)))
 
 
 def conversations_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns of ``conversations`` as one dataset named ``conversations``."""
     conv = read_table(spark, sf_dir, "conversations")
-    return conv.filter(F.col("role") == "user").select(
+    return spread(conv.filter(F.col("role") == "user").select(
         F.lit("conversations").alias("ds_name"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
-        F.col("text").alias(TEXT))
+        F.col("text").alias(TEXT)))
 
 
 def benchmark_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
