@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varietas.functions.similarity import cosine
+from varietas.session import checkpoint
 
 
 def greedy_match_pairs(pairs: DataFrame, vectors: DataFrame, pair_key: Sequence[str],
@@ -23,6 +24,7 @@ def greedy_match_pairs(pairs: DataFrame, vectors: DataFrame, pair_key: Sequence[
                        vec_id: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Add ``precision, recall, f1`` to every pair of items."""
     pk = list(pair_key)
+    pairs = checkpoint(pairs)  # bounded draw table, referenced three times
     v = vectors.select(F.col(item_col).alias("_item"), F.col(vec_id).alias("_vid"),
                        F.transform(vec_col, lambda x: x.cast("double")).alias("_vec"))
     qv = pairs.select(*pk, F.col(q_item).alias("_item")).join(v, "_item") \

@@ -14,6 +14,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from varietas.session import checkpoint
+
 TREE_TOKEN = r"(\(|\)|[^\s()]+)"
 
 
@@ -56,6 +58,10 @@ def treekernel_pairs(pairs: DataFrame, pair_key: Sequence[str], q_keys: Sequence
     (pair, subtree).
     """
     pk = list(pair_key)
+    # the pair table is referenced five times below; it is bounded (groups x
+    # trials x samples), so materialise it once instead of re-running the
+    # draw and the tree construction per reference
+    pairs = checkpoint(pairs)
     tk = ["_tds", "_tdoc", "_tpos"]
     q = pairs.select(*[F.col(c).alias(t) for c, t in zip(q_keys, tk)], F.col(q_tree).alias("_tree"))
     r = pairs.select(*[F.col(c).alias(t) for c, t in zip(r_keys, tk)], F.col(r_tree).alias("_tree"))
