@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varietas.functions.text import tokenize
-from varietas.operators.ordering import dense_index
+from varietas.operators.ordering import broadcast_if_small, dense_index
 
 TEXT = "nl_instructions"
 DEFAULT_BY = ("ds_name",)
@@ -232,7 +232,9 @@ def dictionary_encode(df: DataFrame, col: str, order_cols: Sequence[str], out_co
     and join the codes back to the rows (equi-join on the value)."""
     keys = _by(by)
     codes = value_codes(df, col, order_cols, out_col, keys)
-    return df.join(codes, on=[*keys, col], how="left")
+    # one row per distinct value: broadcast when a count shows it is small,
+    # so a hot value is not a skewed join key; otherwise AQE splits skew
+    return df.join(broadcast_if_small(codes), on=[*keys, col], how="left")
 
 
 def value_counts(df: DataFrame, col: str, by: Sequence[str] | None = None) -> DataFrame:
