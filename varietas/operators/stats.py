@@ -146,13 +146,12 @@ def word_tokens(df: DataFrame, col: str, by: Sequence[str] | None = None) -> Dat
         c = F.array_join(c, " ")
     words = df.select(*keys, F.explode(F.regexp_extract_all(
         c, F.lit("(" + WORD_PATTERN + ")"), 1)).alias("word"))
-    words = words.withColumn("word", F.when(F.lower("word").endswith("'s"),
-                                            F.expr("substring(word, 1, length(word) - 2)"))
-                             .otherwise(F.col("word")))
-    words = words.filter(~F.col("word").rlike(r"^\p{Nd}+$") & (F.length("word") > 0))
-    stop = df.sparkSession.createDataFrame([(w,) for w in STOPWORDS], "stop string")
-    # the stop list is a fixed ~190-row constant: broadcasting it is bounded
-    return words.join(F.broadcast(stop), F.lower("word") == F.col("stop"), "left_anti")
+    lw = F.lower("word")
+    words = words.withColumn("word", F.when(lw.endswith("'s"), F.expr(
+        "substring(word, 1, length(word) - 2)")).otherwise(F.col("word")))
+    # the stop list is a fixed constant: an InSet filter, no join
+    return words.filter(~F.col("word").rlike(r"^\p{Nd}+$") & (F.length("word") > 0)
+                        & ~F.lower("word").isin(*STOPWORDS))
 
 
 def _merge_plurals(counts: DataFrame, keys: list[str]) -> DataFrame:
