@@ -147,7 +147,8 @@ def compression_ratio(S: DataFrame, by: Sequence[str] | None = None, text_col: s
 
 # ------------------------------------------------------------ homogenization
 def homogenization(S: DataFrame, measure: str = "rouge_l", n_samples: int = 1000,
-                   trials: int = 3, seed: int = 0, by: Sequence[str] | None = None) -> DataFrame:
+                   trials: int = 3, seed: int = 0, by: Sequence[str] | None = None,
+                   index=None) -> DataFrame:
     """Mean similarity over ordered pairs of *different* rows.
 
     Estimated from ``trials x n_samples`` uniform draws of pairs i != j
@@ -156,7 +157,7 @@ def homogenization(S: DataFrame, measure: str = "rouge_l", n_samples: int = 1000
     corpus, so it is not enumerated.
     """
     keys = _by(by)
-    pairs = sample_pairs(S, n_samples, trials, seed, keys, distinct=True)
+    pairs = sample_pairs(S, n_samples, trials, seed, keys, distinct=True, index=index)
     scored = pairs.withColumn("score", pair_score(measure, f"q_{TEXT}", f"r_{TEXT}"))
     return trial_summary(trial_means(scored, "score", keys), keys) \
         .withColumnRenamed("avg", "homogenization")

@@ -89,10 +89,10 @@ def pairwise_summary(S: DataFrame, metric: str, n_samples: int = 1000, trials: i
 
 def pairwise_summaries(S: DataFrame, metrics: Sequence[str], n_samples: int = 1000,
                        trials: int = 3, seed: int = 0,
-                       by: Sequence[str] | None = None) -> DataFrame:
+                       by: Sequence[str] | None = None, index=None) -> DataFrame:
     """All metrics from one draw: ``by, metric, avg, std`` (long format)."""
     keys = _by(by)
-    scored = score_pairs(sample_pairs(S, n_samples, trials, seed, keys), metrics)
+    scored = score_pairs(sample_pairs(S, n_samples, trials, seed, keys, index=index), metrics)
     stack = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("score"))
                                 for m in metrics])).alias("_m")
     long = scored.select(*keys, "trial", stack).select(*keys, "trial", "_m.metric", "_m.score")

@@ -132,11 +132,13 @@ def attach(picks: DataFrame, S: DataFrame, indexed: DataFrame, by: Sequence[str]
 
 def sample_pairs(S: DataFrame, n_samples: int = 1000, trials: int = 3, seed: int = 0,
                  by: Sequence[str] | None = None, payload: Sequence[str] = ("nl_instructions",),
-                 distinct: bool = False, order: Sequence[str] = ORDER) -> DataFrame:
+                 distinct: bool = False, order: Sequence[str] = ORDER,
+                 index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """R2: ``trials x n_samples`` (query, reference) pairs per group, drawn
-    uniformly with replacement (``distinct=True``: never the same row)."""
+    uniformly with replacement (``distinct=True``: never the same row).
+    ``index`` reuses an :func:`index_corpus` result of the same ``S``."""
     keys = _by(by)
-    indexed, sizes = index_corpus(S, keys, order)
+    indexed, sizes = index if index is not None else index_corpus(S, keys, order)
     picks = draws(sizes, n_samples, trials, seed, keys, ("q", "r"), distinct)
     return attach(picks, S, indexed, keys, ("q", "r"), payload, order)
 

@@ -77,6 +77,9 @@ def build_report(S: DataFrame, metrics: Sequence[str] = ALL_METRICS,
     if materialize:
         S = checkpoint(S)
     parts: list[DataFrame] = []
+    # one sampling index serves every drawn metric (pairs, trees, homogenisation)
+    idx = (sampling.index_corpus(S, keys)
+           if set(metrics) & {*PAIR_METRICS, "treekernel", "homogenization"} else None)
     if "unique_commands" in metrics:
         parts.append(_rows(stats.unique_commands(S, by=keys), keys, "unique_commands",
                            "n_unique", None, integer=True))
@@ -85,14 +88,14 @@ def build_report(S: DataFrame, metrics: Sequence[str] = ALL_METRICS,
                            "n_unigrams", None, integer=True))
     pm = [m for m in PAIR_METRICS if m in metrics]
     if pm:
-        summ = pairwise.pairwise_summaries(S, pm, n_samples, trials, seed, keys)
+        summ = pairwise.pairwise_summaries(S, pm, n_samples, trials, seed, keys, index=idx)
         for m in pm:
             parts.append(_rows(summ.filter(F.col("metric") == m), keys, m, "avg", "std"))
     if "common_patterns" in metrics:
         T = annotate.pos_tag(S)
     if "treekernel" in metrics:
         # parse only the drawn sentences (same draws as over a tree table)
-        pairs = sampling.sample_pairs(S, n_samples, trials, seed, keys)
+        pairs = sampling.sample_pairs(S, n_samples, trials, seed, keys, index=idx)
         pairs = pairs.select("*", *[annotate.shallow_tree_of_text(F.col(f"{s}_{TEXT}"))
                                     .alias(f"{s}_{TREE}") for s in ("q", "r")])
         scored = trees.treekernel_pairs(pairs, [*keys, "trial", "sid"],
@@ -103,7 +106,7 @@ def build_report(S: DataFrame, metrics: Sequence[str] = ALL_METRICS,
         parts.append(_rows(diversity.compression_ratio(S, keys), keys, "compression_ratio",
                            "compression_ratio", None))
     if "homogenization" in metrics:
-        parts.append(_rows(diversity.homogenization(S, "rouge_l", n_samples, trials, seed, keys),
+        parts.append(_rows(diversity.homogenization(S, "rouge_l", n_samples, trials, seed, keys, idx),
                            keys, "homogenization", "homogenization", "std"))
     if "ngram_diversity" in metrics:
         parts.append(_rows(diversity.ngram_diversity(S, 4, keys), keys, "ngram_diversity",
