@@ -85,7 +85,8 @@ def test_lcs_matches_dp_both_paths(spark):
     import random
     rng = random.Random(7)
     rows = []
-    for n_a, n_b in [(0, 3), (3, 0), (5, 9), (40, 62), (62, 62), (70, 63), (100, 90), (5, 200)]:
+    for n_a, n_b in [(0, 3), (3, 0), (5, 9), (40, 62), (62, 62), (70, 63), (100, 90), (5, 200),
+                     (124, 124), (125, 300), (400, 187)]:
         a = [rng.choice("abcde") for _ in range(n_a)]
         b = [rng.choice("abcde") for _ in range(n_b)]
         rows.append((a, b, _lcs_py(a, b)))

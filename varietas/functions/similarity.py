@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from varietas.functions.text import ngrams
 
 # LCS by the bit-vector recurrence fits one 64-bit word when the shorter
-# side has at most this many tokens; longer pairs use the row DP.
+# side has at most this many tokens; longer pairs use several such words.
 BITVECTOR_MAX_TOKENS = 62
 
 
@@ -117,19 +117,46 @@ def _lcs_bitvector(s: Column, long: Column) -> Column:
     return m - F.bit_count(v)
 
 
-def _lcs_rows(s: Column, long: Column) -> Column:
-    """LCS length by the classic row DP; ``s`` is the inner (short) side."""
+def _lcs_multiword(s: Column, long: Column) -> Column:
+    """LCS length with ``s`` split over 62-bit words (any length).
+
+    The same recurrence as :func:`_lcs_bitvector`; the addition carries
+    from word to word (a fold over the words of ``s``), so a step costs
+    O(|s|) for the match masks plus O(words^2) for the carry chain.
+    """
+    w_bits = BITVECTOR_MAX_TOKENS
     m = F.size(s)
-    row0 = F.array_repeat(F.lit(0), m + 1)
+    k = F.ceil(m / w_bits).cast("int")
+    one = F.lit(1).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    full = F.lit((1 << w_bits) - 1).cast("bigint")
 
-    def outer(prev, x):
-        return F.aggregate(
-            F.sequence(F.lit(1), m), F.array(F.lit(0)),
-            lambda cur, j: F.concat(cur, F.array(
-                F.when(s[j - 1] == x, prev[j - 1] + 1)
-                .otherwise(F.greatest(prev[j], cur[j - 1])))))
+    def word_mask(w):
+        return F.when(w < k - 1, full).otherwise(_shl(one, m - w * w_bits) - 1)
+
+    def match_words(x):
+        return F.transform(F.sequence(F.lit(0), k - 1), lambda w: F.aggregate(
+            F.sequence(w * w_bits, F.least(w * w_bits + (w_bits - 1), m - 1)), zero,
+            lambda acc, j: acc.bitwiseOR(F.when(s[j] == x, _shl(one, j - w * w_bits))
+                                         .otherwise(zero))))
+
+    def add_step(v, mx):
+        start = F.struct(zero.alias("c"), F.array().cast("array<bigint>").alias("out"))
+
+        def word(acc, w):
+            vw, mw = v[w], mx[w]
+            t = vw + vw.bitwiseAND(mw) + acc["c"]
+            nw = (t.bitwiseAND(full).bitwiseOR(vw.bitwiseAND(F.bitwise_not(mw)))
+                  .bitwiseAND(word_mask(w)))
+            return F.struct(F.shiftright(t, w_bits).alias("c"),
+                            F.concat(acc["out"], F.array(nw)).alias("out"))
+
+        return F.aggregate(F.sequence(F.lit(0), k - 1), start, word)["out"]
 
-    return F.element_at(F.aggregate(long, row0, outer), -1)
+    init = F.transform(F.sequence(F.lit(0), k - 1), word_mask)
+    final = F.aggregate(long, init, lambda v, x: F.aggregate(
+        F.array(match_words(x)), v, lambda v2, mx: add_step(v2, mx)))
+    return m - F.aggregate(final, F.lit(0), lambda a, x: a + F.bit_count(x))
 
 
 def lcs_length(a_tokens, b_tokens) -> Column:
@@ -142,7 +169,7 @@ def lcs_length(a_tokens, b_tokens) -> Column:
         F.when(F.size(p["s"]) == 0, F.lit(0))
         .when(F.size(p["s"]) <= BITVECTOR_MAX_TOKENS,
               _lcs_bitvector(p["s"], p["l"]))
-        .otherwise(_lcs_rows(p["s"], p["l"]))))[0]
+        .otherwise(_lcs_multiword(p["s"], p["l"]))))[0]
 
 
 def rouge_l_f(q_tokens, r_tokens) -> Column:
