@@ -30,13 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from varietas.llm.common import (Words, chunks, gram_hashes, ship_by_value, small_batches,
                                  starts_of, table, written)
 
 SPAN, GRAM = 13, 8
 BLOCK_BYTES = 32 << 20
-STATE = ("key bigint, n_words bigint, starts array<int>, lengths array<int>, items array<string>")
+STATE = "n_words bigint, starts array<int>, lengths array<int>, items array<string>"
 
 
 def item_words() -> Words:
@@ -175,7 +176,7 @@ def hit_by(block: Block, last: bool):
                 out_s.append(s0)
                 out_l.append(l0)
                 out_i.append(names)
-            columns = {"key": batch.column("key"), "n_words": pa.array(counts, pa.int64()),
+            columns = {"row": batch.column("row"), "n_words": pa.array(counts, pa.int64()),
                        "starts": pa.array(out_s, pa.list_(pa.int32())),
                        "lengths": pa.array(out_l, pa.list_(pa.int32())),
                        "items": pa.array(out_i, pa.list_(pa.string()))}
@@ -199,44 +200,53 @@ def item_blocks(benchmark: DataFrame, item: str, text: str,
         yield [(r.item, bytes(r.text)) for r in mine.collect()]
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
-                   text: str = "text", item: str = "item_id", item_text: str = "text",
-                   span: int = SPAN, gram: int = GRAM,
-                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of ``docs``: ``key``, ``n_words``, ``n_hit``, the merged word
-    spans ``hits`` (start, length) and the ids ``items`` whose windows occur,
-    sorted as strings."""
+def with_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
+              item: str = "item_id", item_text: str = "text", span: int = SPAN,
+              gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of ``docs``: the ``row`` itself, ``n_words``, ``n_hit``, the
+    merged word spans ``hits`` (start, length) and the ids ``items`` whose
+    windows occur, sorted as strings."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("bigint").alias("key"),
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"),
                        F.col(text).cast("binary").alias("text"),
                        F.lit(0).cast("bigint").alias("n_words"),
                        F.array().cast("array<int>").alias("starts"),
                        F.array().cast("array<int>").alias("lengths"),
                        F.array().cast("array<string>").alias("items"))
+    state = T.StructType.fromDDL(STATE).fields
+    schema = T.StructType([T.StructField("row", docs.schema), *state])
     blocks = item_blocks(benchmark, item, item_text, block_bytes)
     block = next(blocks)
     while block is not None:
         following = next(blocks, None)
         f = hit_by(Block(block, span, gram), following is None)
-        rows = rows.mapInArrow(f, STATE + (", text binary" if following is not None else ""))
-        if following is not None:
-            rows = written(rows, "decontaminate")
+        if following is None:
+            rows = rows.mapInArrow(f, schema)
+        else:
+            more = T.StructType([*schema.fields, T.StructField("text", T.BinaryType())])
+            rows = written(rows.mapInArrow(f, more), "decontaminate")
         block = following
     return rows.select(
-        F.col("key").alias(key), "n_words",
+        "row", "n_words",
         F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_hit"),
         F.arrays_zip(F.col("starts").alias("start"), F.col("lengths").alias("length")).alias("hits"),
         "items")
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
+    """The rows that are not contaminated."""
+    return with_hits(docs, benchmark, **names).where(~contaminated()).select("row.*")
+
+
 def contaminated() -> F.Column:
     """At least one word in twenty is hit."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
-    hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return hits.select("doc_id", "n_words", "n_hit",
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = with_hits(docs, table(spark, sf_dir, "benchmark"))
+    return hits.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit",
                        F.size("items").cast("bigint").alias("n_items"),
                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                        contaminated().alias("contaminated"))

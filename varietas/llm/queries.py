@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from varietas.llm import chat, decontaminate, fingerprint, packing, sharding, token_files
+from varietas.llm import (chat, decontaminate, fingerprint, jaccard_join, language, linededup,
+                          packing, quality, sharding, token_files)
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_fingerprints": fingerprint.op3_fingerprints,
     "op4_sharding": sharding.op4_sharding,
     "op5_packing": packing.op5_packing,
+    "op6_line_dedup": linededup.op6_line_dedup,
+    "op7_language_id": language.op7_language_id,
     "op8_token_files": token_files.op8_token_files,
     "op9_chat_format": chat.op9_chat_format,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
 ORACLE = {
+    "op1_jaccard_join": jaccard_join.OP1_SQL,
+    "op6_line_dedup": linededup.OP6_SQL,
     "op9_chat_format": chat.OP9_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
 }
