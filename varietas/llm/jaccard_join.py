@@ -5,10 +5,11 @@ Rows with one and the same set are one member of the join.
 
 1. Profile (one pass): each document's set size, a 64-bit set id, and a
    parity bitmap of 4 to 8 bits a shingle.  Two bitmaps differ in at most as
-   many bits as their sets do in shingles.  The pass also counts all shingles
-   in a fixed number of counters; their rough logarithms order shingles from
-   rare to frequent.  Any order gives the same links; this one keeps frequent
-   passages out of the index.
+   many bits as their sets do in shingles.  The pass also deals all shingles
+   out by hash range, packed, and counts them there; those in ``FREQUENT`` or
+   more documents are marked in a filter of fixed size.  Unmarked shingles
+   come before marked ones.  Any order gives the same links; this one keeps
+   passages that many documents share out of the index.
 2. Index lists: a set is listed under the shingles of its prefix, the first
    ``n - ceil(0.8 n) + 1``, of which linked sets share one.  At the first
    shingle that two linked sets share, their positions add up to a ninth of
@@ -52,8 +53,12 @@ from varietas.llm.common import (Words, chunks, gram_hashes, mix, ship_by_value,
 from varietas.llm.graph import components
 
 WORDS, CELL, DOUBTS = 5, 2048, 64
-COUNTERS, SLICE = 22, 14  # 2^22 counters, sent in slices of 2^14
-FILTER = 24  # bits of the fixed-size membership filters, as a power of two
+# Shingles of this many documents are frequent; a task sends its shingles on
+# whenever it holds HELD of them.
+FREQUENT, HELD = 8, 1 << 21
+# Sizes of the membership filters in bits, as powers of two, and of the slices
+# in which they travel, in bytes.
+FREQUENT_BITS, FILTER_BITS, SLICE = 26, 24, 1 << 14
 PROFILE = "kind int, doc bigint, sid bigint, n bigint, data binary"
 CELLS = ("lo bigint, i int, j int, kind int, sid bigint, rep bigint, n bigint, data binary, "
          "other bigint")
@@ -95,77 +100,148 @@ def prefix_length(n: int) -> int:
     return n - -(-4 * n // 5) + 1
 
 
-def profile(k: int):
+class Bits:
+    """Membership filter of fixed size: all members pass, and others by
+    chance, which costs work and changes no result."""
+
+    def __init__(self, power: int):
+        self.power, self.bits = power, np.zeros((1 << power) // 8, np.uint8)
+
+    def places(self, values: np.ndarray) -> np.ndarray:
+        return (mix(values.astype(np.int64).view(np.uint64)) >> np.uint64(64 - self.power)).astype(np.int64)
+
+    def add(self, values: np.ndarray) -> None:
+        at = self.places(values)
+        np.bitwise_or.at(self.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        at = self.places(values)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+    def slices(self, kind: int | None = None) -> pa.RecordBatch:
+        rows = self.bits.reshape(-1, SLICE)
+        used = np.flatnonzero(rows.any(axis=1))
+        columns = {"n": pa.array(used, pa.int64()),
+                   "data": pa.array([rows[u].tobytes() for u in used], pa.binary())}
+        if kind is not None:
+            columns = {"kind": pa.array(np.full(len(used), kind), pa.int32()),
+                       "doc": pa.nulls(len(used), pa.int64()), "sid": pa.nulls(len(used), pa.int64()),
+                       **columns}
+        return pa.RecordBatch.from_pydict(columns)
+
+    @classmethod
+    def gathered(cls, power: int, slices: DataFrame) -> "Bits":
+        """The union of slices ``n, data`` of many tasks."""
+        out = cls(power)
+        rows = out.bits.reshape(-1, SLICE)
+        for r in slices.select("n", "data").toLocalIterator():
+            rows[r.n] |= np.frombuffer(bytes(r.data), np.uint8)
+        return out
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as byte planes of their differences."""
+    steps = np.diff(values, prepend=np.uint32(0)).astype("<u4")
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), dtype=np.uint32)
+
+
+def short_form(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash range (``2^ranges`` of them) and the next 32 bits."""
+    return ((h >> np.uint64(64 - ranges)).astype(np.int64),
+            (h >> np.uint64(32 - ranges)).astype(np.uint32))
+
+
+def profile(k: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = white_words()
-        seen = np.zeros(1 << COUNTERS, np.int64)
+        held: list[np.ndarray] = []
+        waiting = 0
+
+        def dealt() -> pa.RecordBatch:
+            h = np.sort(np.concatenate(held))
+            which, rest = short_form(h, ranges)
+            cuts = np.searchsorted(which, np.arange((1 << ranges) + 1))
+            used = np.flatnonzero(np.diff(cuts))
+            return pa.RecordBatch.from_pydict({
+                "kind": pa.array(np.ones(len(used)), pa.int32()),
+                "doc": pa.nulls(len(used), pa.int64()), "sid": pa.nulls(len(used), pa.int64()),
+                "n": pa.array(used, pa.int64()),
+                "data": pa.array([packed(rest[cuts[u]:cuts[u + 1]]) for u in used], pa.binary())})
+
         for batch, texts in chunks(batches, "text"):
-            sids, ns, maps, hashes = [], [], [], []
+            sids, ns, maps = [], [], []
             for s in shingle_sets(texts, words, k):
                 sids.append(set_id(s) if len(s) else None)
                 ns.append(len(s))
                 maps.append(parity_bitmap(s).tobytes() if len(s) else None)
-                hashes.append(s)
-            seen += np.bincount((np.concatenate(hashes) >> np.uint64(64 - COUNTERS)).astype(np.int64),
-                                minlength=1 << COUNTERS)
+                held.append(s)
             yield pa.RecordBatch.from_pydict({
                 "kind": pa.array(np.zeros(len(ns)), pa.int32()), "doc": batch.column("doc"),
                 "sid": pa.array(sids, pa.int64()), "n": pa.array(ns, pa.int64()),
                 "data": pa.array(maps, pa.binary())})
-        slices = np.minimum(seen, 255).astype(np.uint8).reshape(-1, 1 << SLICE)
-        yield pa.RecordBatch.from_pydict({
-            "kind": pa.array(np.ones(len(slices)), pa.int32()),
-            "doc": pa.nulls(len(slices), pa.int64()), "sid": pa.nulls(len(slices), pa.int64()),
-            "n": pa.array(np.arange(len(slices)), pa.int64()),
-            "data": pa.array([s.tobytes() for s in slices], pa.binary())})
+            waiting += sum(ns)
+            if waiting >= HELD:
+                yield dealt()
+                held, waiting = [], 0
+        if waiting:
+            yield dealt()
 
     return run
 
 
-def summed_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counters of all tasks added up, as rough logarithms."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist()):
-            own = np.frombuffer(data, np.uint8).astype(np.int64)
-            total[n] = total[n] + own if n in total else own
-    ranks = [np.minimum(255, 8 * np.log2(1.0 + v)).astype(np.uint8).tobytes() for v in total.values()]
-    yield pa.RecordBatch.from_pydict({"n": pa.array(list(total), pa.int64()),
-                                      "data": pa.array(ranks, pa.binary())})
+def tallied(ranges: int):
+    """Passes profiles on; counts the shingles of each hash range, which come
+    together, and marks the frequent ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = Bits(FREQUENT_BITS)
+        current, parts = None, []
+
+        def count() -> None:
+            rest = np.sort(np.concatenate(parts))
+            often = rest[FREQUENT - 1:][rest[FREQUENT - 1:] == rest[:len(rest) - FREQUENT + 1]]
+            marked.add((np.unique(often).astype(np.int64) << ranges) | current)
+
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            yield batch.filter(pa.array(kinds == 0))
+            own = batch.filter(pa.array(kinds == 1))
+            for n, data in zip(own.column("n").to_pylist(), own.column("data").to_pylist()):
+                if n != current:
+                    if parts:
+                        count()
+                    current, parts = n, []
+                parts.append(unpacked(data))
+        if parts:
+            count()
+        yield marked.slices(2)
+
+    return run
 
 
 def or_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Values of a partition as slices of a membership filter."""
-    bits = np.zeros(1 << FILTER, bool)
+    found = Bits(FILTER_BITS)
     for batch in batches:
-        bits[place_of(batch.column("value").to_numpy())] = True
-    rows = np.packbits(bits).reshape(-1, 1 << SLICE)
-    used = np.flatnonzero(rows.any(axis=1))
-    yield pa.RecordBatch.from_pydict({"n": pa.array(used, pa.int64()),
-                                      "data": pa.array([rows[u].tobytes() for u in used], pa.binary())})
+        found.add(batch.column("value").to_numpy())
+    yield found.slices()
 
 
-def place_of(values: np.ndarray) -> np.ndarray:
-    return (mix(values.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER)).astype(np.int64)
-
-
-def membership(values: DataFrame) -> np.ndarray:
-    """Filter of fixed size over the column ``value``: all members pass, and
-    others by chance, which costs work and changes no result."""
-    slices = values.select("value").mapInArrow(or_slices, "n bigint, data binary")
-    joined = slices.groupBy("n").agg(F.collect_list("data").alias("data"))
-    bits = np.zeros((1 << FILTER) // 8, np.uint8).reshape(-1, 1 << SLICE)
-    for r in joined.toLocalIterator():
-        for data in r.data:
-            bits[r.n] |= np.frombuffer(bytes(data), np.uint8)
-    return np.unpackbits(bits.reshape(-1)).astype(bool)
+def membership(values: DataFrame) -> Bits:
+    """Filter over the column ``value``."""
+    return Bits.gathered(FILTER_BITS, values.select("value").mapInArrow(
+        or_slices, "n bigint, data binary"))
 
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def listed(k: int, ranks: np.ndarray, wanted: np.ndarray | None):
+def listed(k: int, ranges: int, marked: Bits, wanted: Bits | None):
     """The index entries of every set, once a task: shingle, set, and whether
     its position is in the near block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,12 +253,13 @@ def listed(k: int, ranks: np.ndarray, wanted: np.ndarray | None):
                     continue
                 done.add(sid)
                 p = prefix_length(len(s))
-                own = ranks[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)]
-                first = s[np.argsort(own, kind="stable")[:p]]
+                which, rest = short_form(s, ranges)
+                often = marked.has((rest.astype(np.int64) << ranges) | which)
+                first = np.concatenate([s[~often], s[often]])[:p]
                 # positions of a linked pair add up to (|x| + |z|) / 9 at most
                 close = np.arange(p) * 8 <= len(s)
                 if wanted is not None:
-                    keep = wanted[place_of(signed(first))]
+                    keep = wanted.has(signed(first))
                     first, close = first[keep], close[keep]
                 tokens.append(signed(first))
                 sids.append(np.full(len(first), sid))
@@ -328,7 +405,7 @@ def searched(doubts: int):
     return run
 
 
-def whole_sets(k: int, wanted: np.ndarray):
+def whole_sets(k: int, wanted: Bits):
     """Sets of the documents asked for, 40 bits a shingle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = white_words()
@@ -337,7 +414,7 @@ def whole_sets(k: int, wanted: np.ndarray):
             for doc, s in zip(batch.column("doc").to_pylist(), shingle_sets(texts, words, k)):
                 if len(s):
                     sid = set_id(s)
-                    if wanted[place_of(np.array([sid ^ (doc or 0)]))[0]]:
+                    if wanted.has(np.array([sid ^ (doc or 0)]))[0]:
                         short = np.unique(s >> np.uint64(24)).astype("<u8")
                         out[0].append(sid)
                         out[1].append(doc)
@@ -374,25 +451,24 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("bigint").alias("doc"),
                        F.col(text).cast("binary").alias("text"))
-    profiles = written(rows.mapInArrow(profile(words), PROFILE), "profiles")
+    ranges = min(14, max(9, (4 * parts - 1).bit_length()))
+    profiles = written(
+        rows.mapInArrow(profile(words, ranges), PROFILE)
+        .repartition(parts, F.when(F.col("kind") == 1, F.col("n")).otherwise(F.xxhash64("doc", "sid")))
+        .sortWithinPartitions("kind", F.when(F.col("kind") == 1, F.col("n")))
+        .mapInArrow(tallied(ranges), PROFILE), "profiles")
     sets = profiles.where("kind = 0")
     classes = sets.where("sid is not null").groupBy("sid").agg(F.min("doc").alias("rep"))
-
-    counters = profiles.where("kind = 1").select("n", "data").repartition(16, "n") \
-        .mapInArrow(summed_slices, "n bigint, data binary").collect()  # 2^22 bytes
-    ranks = np.zeros(1 << COUNTERS, np.uint8).reshape(-1, 1 << SLICE)
-    for r in counters:
-        ranks[r.n] = np.frombuffer(bytes(r.data), np.uint8)
-    ranks = ranks.reshape(-1)
+    marked = Bits.gathered(FREQUENT_BITS, profiles.where("kind = 2"))
 
     entries = "token bigint, sid bigint, near boolean"
     texts = rows.select("text")
-    lists = written(texts.mapInArrow(listed(words, ranks, None), entries)
+    lists = written(texts.mapInArrow(listed(words, ranges, marked, None), entries)
                     .groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"),
                                           F.max("near").alias("near"))
                     .where("lo <> hi and near").select("token", "lo"), "lists")
     common = membership(lists.select(F.col("token").alias("value")))
-    bucket = texts.mapInArrow(listed(words, ranks, common), entries).select("token", "sid") \
+    bucket = texts.mapInArrow(listed(words, ranges, marked, common), entries).select("token", "sid") \
         .join(lists, "token").select("lo", "sid").distinct()
     bucket = written(bucket, "buckets")
 
