@@ -9,7 +9,9 @@ Rows with one and the same set are one member of the join.
    out by hash range, packed, and counts them there; those in ``FREQUENT`` or
    more documents are marked in a filter of fixed size.  Unmarked shingles
    come before marked ones.  Any order gives the same links; this one keeps
-   passages that many documents share out of the index.
+   passages and chance repetitions out of the lists.  The filter's size is a
+   parameter to raise with the corpus: 2^28 bits serve some 10^8 repeated
+   shingles.
 2. Index lists: a set is listed under the shingles of its prefix, the first
    ``n - ceil(0.8 n) + 1``, of which linked sets share one.  At the first
    shingle that two linked sets share, their positions add up to a ninth of
@@ -55,10 +57,10 @@ from varietas.llm.graph import components
 WORDS, CELL, DOUBTS = 5, 2048, 64
 # Shingles of this many documents are frequent; a task sends its shingles on
 # whenever it holds HELD of them.
-FREQUENT, HELD = 8, 1 << 21
+FREQUENT, HELD = 2, 1 << 21
 # Sizes of the membership filters in bits, as powers of two, and of the slices
 # in which they travel, in bytes.
-FREQUENT_BITS, FILTER_BITS, SLICE = 26, 24, 1 << 14
+FREQUENT_BITS, FILTER_BITS, SLICE = 28, 24, 1 << 14
 PROFILE = "kind int, doc bigint, sid bigint, n bigint, data binary"
 CELLS = ("lo bigint, i int, j int, kind int, sid bigint, rep bigint, n bigint, data binary, "
          "other bigint")
@@ -111,11 +113,15 @@ class Bits:
         return (mix(values.astype(np.int64).view(np.uint64)) >> np.uint64(64 - self.power)).astype(np.int64)
 
     def add(self, values: np.ndarray) -> None:
-        at = self.places(values)
-        np.bitwise_or.at(self.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        self.set(self.places(values))
 
     def has(self, values: np.ndarray) -> np.ndarray:
-        at = self.places(values)
+        return self.at(self.places(values))
+
+    def set(self, at: np.ndarray) -> None:
+        np.bitwise_or.at(self.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+    def at(self, at: np.ndarray) -> np.ndarray:
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
     def slices(self, kind: int | None = None) -> pa.RecordBatch:
@@ -204,7 +210,8 @@ def tallied(ranges: int):
         def count() -> None:
             rest = np.sort(np.concatenate(parts))
             often = rest[FREQUENT - 1:][rest[FREQUENT - 1:] == rest[:len(rest) - FREQUENT + 1]]
-            marked.add((np.unique(often).astype(np.int64) << ranges) | current)
+            # a hash range is a run of the filter, so tasks mark apart
+            marked.set(((current << 32) | np.unique(often).astype(np.int64)) >> (ranges + 32 - FREQUENT_BITS))
 
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
@@ -241,20 +248,19 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def listed(k: int, ranges: int, marked: Bits, wanted: Bits | None):
-    """The index entries of every set, once a task: shingle, set, and whether
-    its position is in the near block."""
+def listed(k: int, marked: Bits, wanted: Bits | None):
+    """The index entries of every set, once a task: shingle, set, whether its
+    position is in the near block, and how many entries the set has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, done = white_words(), set()
         for _, texts in chunks(batches, "text"):
-            tokens, sids, near = [], [], []
+            tokens, sids, near, many = [], [], [], []
             for s in shingle_sets(texts, words, k):
                 if not len(s) or (sid := set_id(s)) in done:
                     continue
                 done.add(sid)
                 p = prefix_length(len(s))
-                which, rest = short_form(s, ranges)
-                often = marked.has((rest.astype(np.int64) << ranges) | which)
+                often = marked.at((s >> np.uint64(64 - FREQUENT_BITS)).astype(np.int64))
                 first = np.concatenate([s[~often], s[often]])[:p]
                 # positions of a linked pair add up to (|x| + |z|) / 9 at most
                 close = np.arange(p) * 8 <= len(s)
@@ -264,11 +270,13 @@ def listed(k: int, ranges: int, marked: Bits, wanted: Bits | None):
                 tokens.append(signed(first))
                 sids.append(np.full(len(first), sid))
                 near.append(close)
+                many.append(np.full(len(first), len(first)))
             if tokens:
                 yield pa.RecordBatch.from_pydict({
                     "token": pa.array(np.concatenate(tokens), pa.int64()),
                     "sid": pa.array(np.concatenate(sids), pa.int64()),
-                    "near": pa.array(np.concatenate(near), pa.bool_())})
+                    "near": pa.array(np.concatenate(near), pa.bool_()),
+                    "many": pa.array(np.concatenate(many), pa.int32())})
 
     return run
 
@@ -461,16 +469,20 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     classes = sets.where("sid is not null").groupBy("sid").agg(F.min("doc").alias("rep"))
     marked = Bits.gathered(FREQUENT_BITS, profiles.where("kind = 2"))
 
-    entries = "token bigint, sid bigint, near boolean"
+    entries = "token bigint, sid bigint, near boolean, many int"
     texts = rows.select("text")
-    lists = written(texts.mapInArrow(listed(words, ranges, marked, None), entries)
-                    .groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"),
-                                          F.max("near").alias("near"))
-                    .where("lo <> hi and near").select("token", "lo"), "lists")
-    common = membership(lists.select(F.col("token").alias("value")))
-    bucket = texts.mapInArrow(listed(words, ranges, marked, common), entries).select("token", "sid") \
-        .join(lists, "token").select("lo", "sid").distinct()
-    bucket = written(bucket, "buckets")
+    lists = texts.mapInArrow(listed(words, marked, None), entries) \
+        .groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"),
+                              F.max("near").alias("near")) \
+        .where("lo <> hi and near").select(F.col("token").alias("value"))
+    common = membership(lists)
+    index = written(texts.mapInArrow(listed(words, marked, common), entries)
+                    .select("token", "sid", "many"), "index")
+    leaders = index.groupBy("token").agg(
+        F.max(F.struct("many", "sid")).alias("lead"), F.min("sid").alias("lo"), F.max("sid").alias("hi")) \
+        .where("lo <> hi").select("token", F.col("lead.sid").alias("lo"))
+    bucket = written(index.select("token", "sid").join(leaders, "token")
+                     .select("lo", "sid").distinct(), "buckets")
 
     maps = sets.where("sid is not null").groupBy("sid").agg(
         F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("data").alias("data"))
