@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from varietas.llm import decontaminate, jaccard_join, linededup, packing, quality  # noqa: E402
-from varietas.llm.common import table, written  # noqa: E402
+from varietas.llm.common import table, unused, written  # noqa: E402
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +45,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = written(jaccard_join.jaccard_components(docs), "groups")
     by_id = groups.where("n_shingles > 0").groupBy("doc_id").agg(
         F.min(F.col("doc_id") > F.col("component_id")).alias("later"), F.count(F.lit(1)).alias("rows"))
-    dropped = by_id.where("later").select(F.col("doc_id").alias("_id"))
-    kept = docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
-    repeated = by_id.where("rows > 1 and not later").select(F.col("doc_id").alias("_id"))
+    own = unused(docs, "_id")
+    dropped = by_id.where("later").select(F.col("doc_id").alias(own))
+    kept = docs.join(dropped, F.col("doc_id") == F.col(own), "left_anti")
+    repeated = by_id.where("rows > 1 and not later").select(F.col("doc_id").alias(own))
     if not repeated.take(1):
         return kept
-    once = kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi")
-    return kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti") \
+    once = kept.join(repeated, F.col("doc_id") == F.col(own), "left_semi")
+    return kept.join(repeated, F.col("doc_id") == F.col(own), "left_anti") \
         .unionByName(once.dropDuplicates(["doc_id", "text"]))
 
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varietas.llm.common import table, written
+from varietas.llm.common import table, unused, written
 
 MIN_SITES, PASSAGE_WORDS, PASSAGE_SITES = 10, 50, 2
 MARGIN, LOG_K = 0.25, 9  # relative standard error of 2^9 registers: 4.6 %
@@ -77,24 +77,24 @@ def remove_spread_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "te
                         passage_words: int = PASSAGE_WORDS, passage_sites: int = PASSAGE_SITES,
                         margin: float = MARGIN) -> DataFrame:
     """All columns of ``docs`` with the cleaned ``text``, and the line counts
-    ``_lines`` and ``_removed``."""
+    ``_lines`` and ``_removed`` (in place of columns of these names)."""
     lines = written(line_table(docs, key, text, source, passage_words), "lines")
     spread = spread_lines(lines, min_sites, passage_sites, margin)
     holders = lines.join(spread, ["line", "check"]).groupBy("line", "check").agg(
         F.min(F.struct(F.col("key").isNull().alias("last"), F.col("key"), F.col("doc"))).alias("first"))
     holders = written(holders.select("line", "check", F.col("first.doc").alias("holder")), "holders")
+    mark, gone = unused(docs, "_doc"), unused(docs, "_taken")
     taken = lines.join(holders, ["line", "check"]).where("doc <> holder") \
-        .groupBy("doc").agg(F.collect_set("at").alias("_taken"))  # a document's own lines
+        .groupBy(F.col("doc").alias(mark)).agg(F.collect_set("at").alias(gone))  # a document's own lines
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("_doc", F.xxhash64(F.col(key), body)) \
-        .join(taken.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    rows = docs.withColumn(mark, F.xxhash64(F.col(key), body)).join(taken, mark, "left")
     split = line_list(F.coalesce(F.col(text), F.lit("")))
-    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_taken")))
-    cleaned = F.when(F.col("_taken").isNull(), F.col(text)).otherwise(F.array_join(
+    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone)))
+    cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(
         F.transform(kept, lambda i: F.get(split, i)), "\n"))
     return rows.withColumn("_lines", F.size(split)) \
-        .withColumn("_removed", F.coalesce(F.size("_taken"), F.lit(0))) \
-        .withColumn(text, cleaned).drop("_doc", "_taken")
+        .withColumn("_removed", F.coalesce(F.size(gone), F.lit(0))) \
+        .withColumn(text, cleaned).drop(mark, gone)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varietas.llm.common import (Words, chunks, mix, ship_by_value, small_batches, starts_of,
-                                 table)
+                                 table, unused)
 from varietas.llm.decontaminate import item_words
 
 BITS, SAMPLE, GRADES = 18, 6000, 3
@@ -188,12 +188,12 @@ def score(docs: DataFrame, model: Ordinal, *, key: str = "doc_id", text: str = "
         .withColumnRenamed("key", key)
 
 
-def filtered(model: Ordinal, least: float):
+def filtered(model: Ordinal, least: float, body: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(int(len(model.weights)).bit_length() - 1)
-        for batch, texts in chunks(batches, "_body"):
+        for batch, texts in chunks(batches, body):
             tails = model.tails(model.scores(*features.of(texts)))
-            rows = batch.select([c for c in batch.schema.names if c != "_body"])
+            rows = batch.select([c for c in batch.schema.names if c != body])
             yield rows.filter(pa.array(tails[:, -1] >= least))
 
     return run
@@ -202,8 +202,9 @@ def filtered(model: Ordinal, least: float):
 def keep(docs: DataFrame, model: Ordinal, *, text: str = "text", least: float = 0.5) -> DataFrame:
     """The whole rows whose best grade has at least probability ``least``."""
     small_batches(docs.sparkSession)
-    return docs.withColumn("_body", F.col(text).cast("binary")) \
-        .mapInArrow(filtered(model, least), docs.schema)
+    body = unused(docs, "_body")
+    return docs.withColumn(body, F.col(text).cast("binary")) \
+        .mapInArrow(filtered(model, least, body), docs.schema)
 
 
 def graded(labels: DataFrame) -> DataFrame:
