@@ -61,7 +61,7 @@ FROM ({S_DOCS}) GROUP BY ds_name"""
 
 ORACLE["unique_unigrams"] = f"""
 SELECT ds_name, count(DISTINCT tok) AS n_unigrams
-FROM (SELECT ds_name, unnest({P.tokens('nl_instructions')}) AS tok FROM ({S_DOCS}))
+FROM (SELECT ds_name, unnest(list_append({P.tokens('nl_instructions')}, NULL)) AS tok FROM ({S_DOCS}))
 GROUP BY ds_name"""
 
 ORACLE["length_histogram"] = f"""
@@ -89,12 +89,15 @@ SELECT ds_name, key AS word, n, rank, {r6('n / max(n) OVER (PARTITION BY ds_name
 FROM r WHERE rank <= 100"""
 
 ORACLE["bigram_frequency"] = f"""
-WITH w AS (SELECT ds_name, list_transform(list_filter(regexp_extract_all(nl_instructions, '{WORD_RE}', 1),
-             lambda x: lower(x) NOT IN ({STOP_IN}) AND NOT regexp_matches(x, '^\\p{{Nd}}+$')), lambda x: lower(x)) AS lw
-           FROM ({S_DOCS})),
-g AS (SELECT ds_name, unnest(list_transform(range(1, len(lw)), lambda i: lw[i] || ' ' || lw[i + 1])) AS bigram
-      FROM w WHERE len(lw) >= 2),
-c AS (SELECT ds_name, bigram, count(*) AS n FROM g GROUP BY ALL),
+WITH s AS (SELECT ds_name, nl_instructions, row_number() OVER () AS sentence FROM ({S_DOCS})),
+w AS (SELECT ds_name, sentence, generate_subscripts(l, 1) AS place, unnest(l) AS word FROM (
+        SELECT ds_name, sentence, regexp_extract_all(nl_instructions, '{WORD_RE}', 1) AS l FROM s)),
+w2 AS (SELECT ds_name, sentence, place, CASE WHEN lower(word) LIKE '%''s' THEN left(lower(word), length(word) - 2)
+         ELSE lower(word) END AS word FROM w),
+f AS (SELECT ds_name, word, lead(word) OVER (PARTITION BY sentence ORDER BY place) AS following
+      FROM w2 WHERE word <> '' AND NOT regexp_matches(word, '^\\p{{Nd}}+$')),
+c AS (SELECT ds_name, word || ' ' || following AS bigram, count(*) AS n FROM f
+      WHERE following IS NOT NULL AND word NOT IN ({STOP_IN}) AND following NOT IN ({STOP_IN}) GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY ds_name ORDER BY n DESC, bigram) AS INTEGER) AS rank FROM c)
 SELECT * FROM r WHERE rank <= 100"""
 
@@ -196,6 +199,19 @@ SELECT ds_name, doc_id, pos,
   CAST(len(list_filter(up, lambda x: x = '{_u}')) AS INTEGER) AS n_{_col}
 FROM ann"""
 
+for _key, _u, _col in (("noun_frequency", "extract_nouns", "nouns"), ("verb_frequency", "extract_verbs", "verbs")):
+    ORACLE[_key] = f"""
+WITH w AS (SELECT ds_name, unnest(regexp_extract_all({_col}, '{WORD_RE}', 1)) AS word FROM ({ORACLE[_u]})),
+w2 AS (SELECT ds_name, CASE WHEN lower(word) LIKE '%''s' THEN left(lower(word), length(word) - 2) ELSE lower(word) END AS word FROM w),
+c AS (SELECT ds_name, word, count(*) AS n FROM w2
+      WHERE word <> '' AND NOT regexp_matches(word, '^\\p{{Nd}}+$') AND word NOT IN ({STOP_IN}) GROUP BY ALL),
+m AS (SELECT ds_name, CASE WHEN word LIKE '%s' AND word NOT LIKE '%ss'
+        AND (ds_name, left(word, length(word) - 1)) IN (SELECT (ds_name, word) FROM c)
+        THEN left(word, length(word) - 1) ELSE word END AS word, n FROM c),
+t AS (SELECT ds_name, word, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY ds_name ORDER BY n DESC, word) AS INTEGER) AS rank FROM t)
+SELECT ds_name, word, n, rank, {r6('n / max(n) OVER (PARTITION BY ds_name)', 'rel')} FROM r WHERE rank <= 100"""
+
 _sel = lambda u: (f"array_to_string(list_filter(list_transform(range(1, len(tk) + 1), lambda i: "
                   f"CASE WHEN up[i] = '{u}' THEN tk[i] END), lambda x: x IS NOT NULL), ' ')")
 ORACLE["add_features"] = f"""WITH {ANN}
@@ -380,7 +396,7 @@ FROM r2"""
 
 
 def _fmt4(x: str) -> str:
-    return f"CAST(CAST(CAST(round({x}, 6) AS DECIMAL(30, 6)) AS DECIMAL(30, 4)) AS VARCHAR)"
+    return f"printf('%.4f', CAST({x} AS DOUBLE))"
 
 
 def _line_sql(metric: str, v: str, s: str | None) -> str:

@@ -84,9 +84,10 @@ def unique_unigrams(df: DataFrame, text_col: str = TEXT,
     hot group is spread over all reducers.
     """
     keys = _by(by)
-    toks = df.select(*keys, F.explode(tokenize(text_col)).alias("_tok"))
+    # a text without tokens gives one null, so its group is counted as 0
+    toks = df.select(*keys, F.explode_outer(tokenize(text_col)).alias("_tok"))
     distinct = toks.distinct()
-    return distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_unigrams"))
+    return distinct.groupBy(*keys).agg(F.count("_tok").alias("n_unigrams"))
 
 
 def with_seq_len(df: DataFrame, text_col: str = TEXT, out_col: str = "seq_len") -> DataFrame:
@@ -154,19 +155,17 @@ def word_tokens(df: DataFrame, col: str, by: Sequence[str] | None = None) -> Dat
                         & ~F.lower("word").isin(*STOPWORDS))
 
 
-def _merge_plurals(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Fold ``xs`` into ``x`` when ``x`` is also a word (not for ``ss``)."""
-    singular = counts.select(*[F.col(k).alias(f"_s_{k}") for k in keys],
-                             F.col("key").alias("_sing"))
-    cand = counts.withColumn(
-        "_cand", F.when(F.col("key").endswith("s") & ~F.col("key").endswith("ss"),
-                        F.expr("substring(key, 1, length(key) - 1)")))
-    cond = F.col("_cand") == F.col("_sing")
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(f"_s_{k}"))
-    joined = cand.join(singular, on=cond, how="left")
-    return (joined.withColumn("key", F.coalesce("_sing", "key"))
-            .groupBy(*keys, "key").agg(F.sum("n").alias("n")))
+def _merged_plurals(words: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts per word with ``xs`` folded into ``x`` when ``x`` is also a
+    word (not for ``ss``).  Both forms are counted side by side under their
+    stem, so one aggregation does it; a stem never ends in ``s`` itself."""
+    plural = F.col("key").endswith("s") & ~F.col("key").endswith("ss")
+    stems = words.select(*keys, plural.alias("_plural"), F.when(
+        plural, F.expr("substring(key, 1, length(key) - 1)")).otherwise(F.col("key")).alias("_stem"))
+    counts = stems.groupBy(*keys, "_stem").agg(
+        F.count_if(~F.col("_plural")).alias("_singular"), F.count(F.lit(1)).alias("n"))
+    return counts.select(*keys, F.when(F.col("_singular") > 0, F.col("_stem"))
+                         .otherwise(F.concat("_stem", F.lit("s"))).alias("key"), "n")
 
 
 def word_frequency(df: DataFrame, col: str = TEXT, by: Sequence[str] | None = None,
@@ -174,10 +173,9 @@ def word_frequency(df: DataFrame, col: str = TEXT, by: Sequence[str] | None = No
     """The ``max_words`` most frequent words per group, case-folded,
     with ``rel = n / max(n)`` (the word-cloud scaling)."""
     keys = _by(by)
-    words = word_tokens(df, col, keys)
-    counts = words.groupBy(*keys, F.lower("word").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    if normalize_plurals:
-        counts = _merge_plurals(counts, keys)
+    words = word_tokens(df, col, keys).select(*keys, F.lower("word").alias("key"))
+    counts = (_merged_plurals(words, keys) if normalize_plurals else
+              words.groupBy(*keys, "key").agg(F.count(F.lit(1)).alias("n")))
     top = top_k_per_group(counts, keys, [F.col("n").desc(), F.col("key")], max_words,
                           bucket_col="key")
     w = Window.partitionBy(*keys) if keys else Window.partitionBy()
@@ -187,17 +185,20 @@ def word_frequency(df: DataFrame, col: str = TEXT, by: Sequence[str] | None = No
 
 def bigram_frequency(df: DataFrame, col: str = TEXT, by: Sequence[str] | None = None,
                      top: int = 100) -> DataFrame:
-    """Most frequent adjacent word pairs (stop words removed first),
-    counted inside each text, never across texts."""
+    """Most frequent adjacent word pairs, counted inside each text,
+    never across texts.  Words are paired first; a pair that holds a stop
+    word is dropped, so no pair bridges a removed word.  (Pattern words,
+    trailing 's removed, all-digit words dropped before pairing.)"""
     keys = _by(by)
     c = F.col(col)
-    words = F.filter(F.regexp_extract_all(c, F.lit("(" + WORD_PATTERN + ")"), 1),
-                     lambda w: ~F.lower(w).isin(*STOPWORDS) & ~w.rlike(r"^\p{Nd}+$"))
-    lw = F.transform(words, lambda w: F.lower(w))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(lw) - 1),
-                        lambda i: F.concat_ws(" ", F.element_at(lw, i), F.element_at(lw, i + 1)))
-    grams = df.select(*keys, F.explode(F.when(F.size(lw) >= 2, pairs)
-                                       .otherwise(F.array().cast("array<string>"))).alias("bigram"))
+    found = F.transform(F.regexp_extract_all(c, F.lit("(" + WORD_PATTERN + ")"), 1),
+                        lambda w: F.regexp_replace(F.lower(w), "'s$", ""))
+    lw = F.filter(found, lambda w: ~w.rlike(r"^\p{Nd}+$") & (w != ""))
+    pairs = F.zip_with(F.slice(lw, 1, F.size(lw) - 1), F.slice(lw, 2, F.size(lw)),
+                       lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    kept = F.filter(pairs, lambda p: ~p["a"].isin(*STOPWORDS) & ~p["b"].isin(*STOPWORDS))
+    grams = df.where(F.size(lw) >= 2).select(
+        *keys, F.explode(F.transform(kept, lambda p: F.concat_ws(" ", p["a"], p["b"]))).alias("bigram"))
     counts = grams.groupBy(*keys, "bigram").agg(F.count(F.lit(1)).alias("n"))
     return top_k_per_group(counts, keys, [F.col("n").desc(), F.col("bigram")], top,
                            bucket_col="bigram")

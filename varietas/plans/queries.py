@@ -262,6 +262,23 @@ def q_extract_verbs(spark, sf_dir):
     return T.select(*SKEYS, F.array_join(v, " ").alias("verbs"), F.size(v).alias("n_verbs"))
 
 
+def _upos_frequency(spark, sf_dir, upos):
+    T = annotated(spark, sf_dir)
+    words = T.select("ds_name", annotate.select_by_upos(F.col("tokens"), F.col("upos"), upos).alias("words"))
+    return stats.word_frequency(words, "words", max_words=100) \
+        .select("ds_name", "word", "n", "rank", r6("rel"))
+
+
+@query("noun_frequency")
+def q_noun_frequency(spark, sf_dir):
+    return _upos_frequency(spark, sf_dir, "NOUN")
+
+
+@query("verb_frequency")
+def q_verb_frequency(spark, sf_dir):
+    return _upos_frequency(spark, sf_dir, "VERB")
+
+
 @query("add_features")
 def q_add_features(spark, sf_dir):
     out = annotate.add_features(sentences(spark, sf_dir))

@@ -42,8 +42,8 @@ SQL_METRICS = ("unique_commands", "unique_unigrams", "rouge_l", "rouge_1", "bleu
 
 
 def fmt4(c: Column) -> Column:
-    """Value with 4 decimals (rounded half-up from the 6-place value)."""
-    return F.round(c, 6).cast("decimal(30,6)").cast("decimal(30,4)").cast("string")
+    """Value with 4 decimals, rounded once from the double."""
+    return F.when(c.isNotNull(), F.format_string("%.4f", c))
 
 
 def _line(metric: str, v: Column, s: Column | None) -> Column:
@@ -66,10 +66,20 @@ def _rows(df: DataFrame, keys: list[str], metric: str, value: str, std: str | No
 
 def build_report(S: DataFrame, metrics: Sequence[str] = ALL_METRICS,
                  by: Sequence[str] = ("ds_name",), n_samples: int = 1000, trials: int = 3,
-                 seed: int = 0, materialize: bool = True) -> DataFrame | None:
+                 seed: int = 0, materialize: bool = True,
+                 scored_vectors: DataFrame | None = None) -> DataFrame | None:
     """Report rows ``(by, ord, metric, value, std, line)``; ``None`` when no
-    metric is chosen (the job then writes no report)."""
-    metrics = [m for m in metrics if m in LINES]
+    metric is chosen (the job then writes no report).
+
+    ``bertscore`` needs ``scored_vectors``: drawn pairs ``(by, trial, sid,
+    f1)`` from ``embeddings.greedy_match_pairs``, since vectors come from a
+    table of their own.  An unknown metric, or one that cannot be filled,
+    raises."""
+    unknown = [m for m in metrics if m not in LINES]
+    if unknown:
+        raise ValueError(f"unknown metrics: {', '.join(unknown)}")
+    if "bertscore" in metrics and scored_vectors is None:
+        raise ValueError("bertscore needs scored_vectors")
     if not metrics:
         return None
     keys = list(by)
@@ -91,6 +101,9 @@ def build_report(S: DataFrame, metrics: Sequence[str] = ALL_METRICS,
         summ = pairwise.pairwise_summaries(S, pm, n_samples, trials, seed, keys, index=idx)
         for m in pm:
             parts.append(_rows(summ.filter(F.col("metric") == m), keys, m, "avg", "std"))
+    if "bertscore" in metrics:
+        means = sampling.trial_means(scored_vectors.withColumnRenamed("f1", "score"), by=keys)
+        parts.append(_rows(sampling.trial_summary(means, by=keys), keys, "bertscore", "avg", "std"))
     if "common_patterns" in metrics:
         T = annotate.pos_tag(S)
     if "treekernel" in metrics:

@@ -90,9 +90,9 @@ def write_features(df: DataFrame, path: str, fmt: str = "parquet",
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """The report table as Parquet plus the report text (lines in
-    ``ord`` order).  A report has one row per group and metric, so the text
-    is written as one small file."""
+    """The report table as Parquet plus one report text per dataset
+    (``text/ds_name=...``, lines in ``ord`` order).  A dataset's report has
+    one row per metric, so each text is one small file."""
     report.write.mode("overwrite").parquet(f"{path}/table")
-    (report.orderBy("ds_name", "ord").select("line").coalesce(1)
-     .write.mode("overwrite").text(f"{path}/text"))
+    (report.repartition("ds_name").sortWithinPartitions("ds_name", "ord").select("ds_name", "line")
+     .write.mode("overwrite").partitionBy("ds_name").text(f"{path}/text"))
