@@ -64,4 +64,5 @@ def test_report_writer(spark, sf_dir):
     lines = spark.read.text(f"{d}/text").collect()
     assert len(lines) == rep.count() > 0
     assert any(line.value.startswith("Number of unique commands in dataset: ") for line in lines)
+    assert {line.ds_name for line in lines} == {r.ds_name for r in rep.collect()}
     assert build_report(S, []) is None
