@@ -8,8 +8,8 @@ Rows with one and the same set are one member of the join.
    many bits as their sets do in shingles.  The pass also deals all shingles
    out by hash range, packed, and counts them there; those in ``FREQUENT`` or
    more documents are marked in a filter of fixed size.  Unmarked shingles
-   come before marked ones.  Any order gives the same links; this one keeps
-   passages and chance repetitions out of the lists.  The filter's size is a
+   come before marked ones and have no list.  Any order gives the same links;
+   this one keeps passages and chance repetitions out of the lists.  The filter's size is a
    parameter to raise with the corpus: 2^28 bits serve some 10^8 repeated
    shingles.
 2. Index lists: a set is listed under the shingles of its prefix, the first
@@ -261,9 +261,12 @@ def listed(k: int, marked: Bits, wanted: Bits | None):
                 done.add(sid)
                 p = prefix_length(len(s))
                 often = marked.at((s >> np.uint64(64 - FREQUENT_BITS)).astype(np.int64))
-                first = np.concatenate([s[~often], s[often]])[:p]
+                # a shingle of one document lists one set: it takes its place
+                # in the order, but needs no entry
+                alone = min(p, int(np.count_nonzero(~often)))
+                first = s[often][:p - alone]
                 # positions of a linked pair add up to (|x| + |z|) / 9 at most
-                close = np.arange(p) * 8 <= len(s)
+                close = np.arange(alone, p) * 8 <= len(s)
                 if wanted is not None:
                     keep = wanted.has(signed(first))
                     first, close = first[keep], close[keep]
