@@ -4,7 +4,7 @@ Two sets link when ``9 * |difference| <= |x| + |z|`` (Jaccard 0.8 or more).
 Rows with one and the same set are one member of the join.
 
 1. Profile (one pass): each document's set size, a 64-bit set id, and a
-   parity bitmap of 4 to 8 bits a shingle.  Two bitmaps differ in at most as
+   parity bitmap of 2 to 4 bits a shingle.  Two bitmaps differ in at most as
    many bits as their sets do in shingles.  The pass also deals all shingles
    out by hash range, packed, and counts them there; those in ``FREQUENT`` or
    more documents are marked in a filter of fixed size.  Unmarked shingles
@@ -92,8 +92,9 @@ def set_id(s: np.ndarray) -> int:
 
 
 def parity_bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the shingles that fall on each of ``2^b >= 4 n`` bits."""
-    size = 1 << max(6, int(4 * len(s) - 1).bit_length())
+    """Parity of the shingles that fall on each of ``2^b >= 2 n`` bits: sets
+    with a Jaccard below 0.77 or so differ in more bits than linked ones may."""
+    size = 1 << max(6, int(2 * len(s) - 1).bit_length())
     counts = np.bincount((mix(s) & np.uint64(size - 1)).astype(np.int64), minlength=size)
     return np.packbits((counts & 1).astype(bool), bitorder="little")
 
@@ -416,6 +417,15 @@ def searched(doubts: int):
     return run
 
 
+def sets_in(wanted: Bits):
+    """Profiles of the sets asked for, which spares the others a shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.has(batch.column("sid").to_numpy(zero_copy_only=False))))
+
+    return run
+
+
 def whole_sets(k: int, wanted: Bits):
     """Sets of the documents asked for, 40 bits a shingle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,23 +497,27 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     bucket = written(index.select("token", "sid").join(leaders, "token")
                      .select("lo", "sid").distinct(), "buckets")
 
-    maps = sets.where("sid is not null").groupBy("sid").agg(
-        F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("data").alias("data"))
     blocks = bucket.groupBy("lo").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("blocks"))
-    members = bucket.join(blocks, "lo").withColumn(
-        "own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")) \
-        .join(maps, "sid") \
+    placed = written(bucket.join(blocks, "lo").withColumn(
+        "own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
         .withColumn("c", F.explode(F.transform(
             F.sequence(F.lit(0), F.col("blocks") - 1),
-            lambda b: F.struct(F.least("own", b).alias("i"), F.greatest("own", b).alias("j"))))) \
-        .select("lo", "c.i", "c.j", F.lit(0).alias("kind"), "sid", "rep", "n", "data",
-                F.lit(None).cast("bigint").alias("other"))
+            lambda b: F.struct(F.least("own", b).alias("i"), F.greatest("own", b).alias("j")))))
+        .select("lo", "c.i", "c.j", "sid"), "placed")
+
+    def with_maps(places: DataFrame, owners: DataFrame) -> DataFrame:
+        maps = owners.groupBy("sid").agg(
+            F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("data").alias("data"))
+        return places.join(maps, "sid").select(
+            "lo", "i", "j", F.lit(0).alias("kind"), "sid", "rep", "n", "data",
+            F.lit(None).cast("bigint").alias("other"))
 
     def search(found: DataFrame) -> DataFrame:
         dealt = found.repartition(parts, "lo", "i", "j").sortWithinPartitions("lo", "i", "j", "kind")
         return written(dealt.mapInArrow(searched(doubts), EDGES), "likely")
 
-    likely = search(members)
+    with_sets = sets.where("sid is not null")
+    likely = search(with_maps(placed, with_sets))
     ends = likely.select(F.col("x").alias("sid"), F.col("xr").alias("rep")).unionByName(
         likely.select(F.col("z").alias("sid"), F.col("zr").alias("rep")))
     asked = membership(ends.select(F.col("sid").bitwiseXOR(
@@ -533,7 +547,10 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
             F.col("x").alias("sid"), F.lit(None).cast("bigint").alias("rep"),
             F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("data"),
             F.col("z").alias("other"))
-        likely = search(members.join(again, ["lo", "i", "j"], "left_semi").unionByName(told))
+        places = written(placed.join(again, ["lo", "i", "j"], "left_semi"), "places")
+        wanted = membership(places.select(F.col("sid").alias("value")))
+        likely = search(with_maps(places, with_sets.mapInArrow(sets_in(wanted), PROFILE))
+                        .unionByName(told))
         new = verify(likely)
         known = written(known.unionByName(new), "known")
         refuted = new.where("not linked")
