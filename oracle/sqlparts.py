@@ -136,8 +136,8 @@ def documents_corpus() -> str:
 
 
 def conversations_corpus() -> str:
-    return ("SELECT 'conversations' AS ds_name, conv_id * 1000 + turn AS doc_id, "
-            "text AS nl_instructions FROM conversations WHERE role = 'user'")
+    return ("SELECT 'conversations' AS ds_name, conv_id::bigint * 4294967296 + turn AS doc_id, "
+            "text AS nl_instructions FROM conversations")
 
 
 def benchmark_corpus() -> str:

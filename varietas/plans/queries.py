@@ -42,7 +42,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S of ``documents`` plus user turns of ``conversations``."""
+    """S of ``documents`` plus all turns of ``conversations``."""
     return clean.clean_and_standardize(
         corpus.documents_corpus(spark, sf_dir).unionByName(
             corpus.conversations_corpus(spark, sf_dir)))

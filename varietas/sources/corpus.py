@@ -35,11 +35,12 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns of ``conversations`` as one dataset named ``conversations``."""
+    """All turns of ``conversations`` as one dataset named ``conversations``;
+    the key holds the turn in its lower 32 bits, so no two turns share one."""
     conv = read_table(spark, sf_dir, "conversations")
-    return spread(conv.filter(F.col("role") == "user").select(
+    return spread(conv.select(
         F.lit("conversations").alias("ds_name"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+        (F.col("conv_id").cast("bigint") * (1 << 32) + F.col("turn")).alias("doc_id"),
         F.col("text").alias(TEXT)))
 
 
