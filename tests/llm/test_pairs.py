@@ -83,6 +83,32 @@ def test_jaccard_components_equal_brute_force(documents, cell, doubts):
     assert sorted(tuple(r) for r in out.collect()) == brute_components(rows)
 
 
+def star_rows(leaves):
+    """A page and shorter variants of it with five other words, each linked
+    with the page alone."""
+    rng = random.Random(leaves)
+    page = [f"p{i}" for i in range(272)]
+    rows = [(1000, " ".join(page))]
+    for v in range(leaves):
+        words = page[:-8]
+        for i, at in enumerate(sorted(rng.sample(range(50), 5))):
+            words[5 * at + 4] = f"v{v}-{i}"
+        rows.append((v, " ".join(words)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("leaves,doubts", [(130, 64), (40, 1)])
+def test_jaccard_star_of_variants_is_one_component(documents, leaves, doubts):
+    rows = star_rows(leaves)
+    expected = brute_components(rows)
+    assert {c for _, _, c in expected} == {0}
+    sets = [shingles(t) for k, t in rows if k != 1000]
+    assert not any(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    out = jaccard_join.jaccard_components(documents(rows), doubts=doubts)
+    assert sorted(tuple(r) for r in out.collect()) == expected
+
+
 def test_jaccard_null_keys_and_empty_table(documents):
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (None, "p q r s t u"), (None, None)]
     out = {tuple(r) for r in jaccard_join.jaccard_components(documents(rows)).collect()}

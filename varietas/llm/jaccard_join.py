@@ -25,9 +25,11 @@ Rows with one and the same set are one member of the join.
    by more than the allowed one rule a link out without a comparison.  Sets
    already joined are not compared again.  What remains is a forest of likely
    links, plus the doubtful ones.
-4. Those are verified on the whole sets.  A bucket with refuted links is
-   gone through again without them, until nothing is left to verify; then all
-   links between different components have been seen.
+4. Those are verified on the whole sets.  A round takes so many doubtful links
+   of a set at most (``doubts``, twice as many in each further round); a bucket
+   where more are left, or with refuted links, is gone through again with what
+   is known, until nothing is left out or refuted; then all links between
+   different components have been seen.
 
 The links found join the same components as all links; the number of all
 links, which grows with the square of a group, is not listed.  Shingles are
@@ -64,6 +66,7 @@ FREQUENT_BITS, FILTER_BITS, SLICE = 28, 24, 1 << 14
 PROFILE = "kind int, doc bigint, sid bigint, n bigint, data binary"
 CELLS = ("lo bigint, i int, j int, kind int, sid bigint, rep bigint, n bigint, data binary, "
          "other bigint")
+# A row without z: set x has a doubtful link that had to wait for another round.
 EDGES = "lo bigint, i int, j int, x bigint, xr bigint, z bigint, zr bigint"
 
 
@@ -296,6 +299,7 @@ class Cell:
         self.maps = [np.frombuffer(m[3], np.uint8) for m in members]
         self.parent = list(range(len(members)))
         self.refuted: dict[int, set[int]] = {}
+        self.waiting: list[int] = []
         at = {s: i for i, s in enumerate(self.sids)}
         for x, z, linked in known:
             if linked:
@@ -320,11 +324,13 @@ class Cell:
         return m.view(np.uint64)
 
     def likely(self, doubts: int) -> list[tuple[int, int]]:
-        """A forest of links that the bitmaps allow, and doubtful links."""
+        """A forest of links that the bitmaps allow, and up to ``doubts``
+        doubtful links a set; ``waiting`` has the ends of the others."""
         count = len(self.n)
         if count == 2:
             return self.only_pair()
         found: list[tuple[int, int]] = []
+        over: list[tuple[int, np.ndarray]] = []
         sizes = np.array([len(m) for m in self.maps])
         # bitmaps of each width, of the members that have it or twice of it
         at_width = {w: (np.flatnonzero((sizes == w) | (sizes == 2 * w))) for w in set(sizes.tolist())}
@@ -358,7 +364,7 @@ class Cell:
                     if z not in self.refuted.get(x, ()):
                         best.append((dist * 1024 // max(room, 1), z))
             best.sort()
-            left = doubts
+            left, later = doubts, []
             for ratio, z in best:
                 if roots[z] == roots[x]:
                     continue
@@ -368,6 +374,16 @@ class Cell:
                 elif left:  # in doubt: verified, not counted on
                     found.append((x, z))
                     left -= 1
+                else:
+                    later.append(z)
+            if later:
+                over.append((x, np.array(later)))
+        ends: set[int] = set()
+        for x, later in over:  # what has been joined since has no need to wait
+            later = later[roots[later] != roots[x]]
+            if len(later):
+                ends.update(later.tolist(), [x])
+        self.waiting = sorted(ends)
         return found
 
     def only_pair(self) -> list[tuple[int, int]]:
@@ -391,6 +407,7 @@ def searched(doubts: int):
             cell = Cell(members, known)
             out = [(*key, cell.sids[x], cell.reps[x], cell.sids[z], cell.reps[z])
                    for x, z in cell.likely(doubts)]
+            out += [(*key, cell.sids[x], cell.reps[x], None, None) for x in cell.waiting]
             if not out:
                 return None
             kinds = [pa.int64(), pa.int32(), pa.int32()] + [pa.int64()] * 4
@@ -512,14 +529,15 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
             "lo", "i", "j", F.lit(0).alias("kind"), "sid", "rep", "n", "data",
             F.lit(None).cast("bigint").alias("other"))
 
-    def search(found: DataFrame) -> DataFrame:
+    def search(found: DataFrame, doubts: int) -> DataFrame:
         dealt = found.repartition(parts, "lo", "i", "j").sortWithinPartitions("lo", "i", "j", "kind")
         return written(dealt.mapInArrow(searched(doubts), EDGES), "likely")
 
     with_sets = sets.where("sid is not null")
-    likely = search(with_maps(placed, with_sets))
+    likely = search(with_maps(placed, with_sets), doubts)
+    # later rounds only meet sets that are linked or waiting here
     ends = likely.select(F.col("x").alias("sid"), F.col("xr").alias("rep")).unionByName(
-        likely.select(F.col("z").alias("sid"), F.col("zr").alias("rep")))
+        likely.where("z is not null").select(F.col("z").alias("sid"), F.col("zr").alias("rep")))
     asked = membership(ends.select(F.col("sid").bitwiseXOR(
         F.coalesce("rep", F.lit(0))).alias("value")))
     bodies = written(rows.mapInArrow(whole_sets(words, asked), "sid bigint, rep bigint, body binary"),
@@ -530,7 +548,7 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         left = one.select(F.col("sid").alias("x"), F.col("rep").alias("xr"), "body")
         right = one.select(F.col("sid").alias("z"), F.col("rep").alias("zr"),
                            F.col("body").alias("other_body"))
-        pairs = edges.withColumn("xr", F.coalesce("xr", F.lit(0))) \
+        pairs = edges.where("z is not null").withColumn("xr", F.coalesce("xr", F.lit(0))) \
             .withColumn("zr", F.coalesce("zr", F.lit(0))) \
             .join(left, ["x", "xr"]).join(right, ["z", "zr"]) \
             .select("lo", "i", "j", "x", "z", "body", "other_body")
@@ -539,9 +557,15 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
             "verified")
 
     known = verify(likely)
-    refuted = known.where("not linked")
-    while refuted.take(1):
-        again = refuted.select("lo", "i", "j").distinct()
+
+    def unsettled(edges: DataFrame, answers: DataFrame) -> DataFrame:
+        """Cells with refuted or waiting links."""
+        cells = answers.where("not linked").select("lo", "i", "j")
+        return cells.unionByName(edges.where("z is null").select("lo", "i", "j")).distinct()
+
+    again = unsettled(likely, known)
+    while again.take(1):
+        doubts *= 2
         told = known.join(again, ["lo", "i", "j"], "left_semi").select(
             "lo", "i", "j", F.when(F.col("linked"), 2).otherwise(1).alias("kind"),
             F.col("x").alias("sid"), F.lit(None).cast("bigint").alias("rep"),
@@ -550,10 +574,10 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         places = written(placed.join(again, ["lo", "i", "j"], "left_semi"), "places")
         wanted = membership(places.select(F.col("sid").alias("value")))
         likely = search(with_maps(places, with_sets.mapInArrow(sets_in(wanted), PROFILE))
-                        .unionByName(told))
+                        .unionByName(told), doubts)
         new = verify(likely)
         known = written(known.unionByName(new), "known")
-        refuted = new.where("not linked")
+        again = unsettled(likely, new)
     roots = components(known.where("linked").select(F.col("x").alias("u"), F.col("z").alias("v")))
 
     least = classes.join(roots, classes.sid == roots.node, "left") \
