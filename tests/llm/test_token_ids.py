@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from varietas.llm import packing, token_files
-from varietas.llm.tokens import encoder, tokenizer_path
+from varietas.llm.tokens import ChunkEncoder, encoder, tokenizer_path
 
 TEXTS = [None, "", " ", "\n\t", "Plain words, and more. End", "café naïve ÉTÉ", "a,b.c", "x" * 3000,
          "\U0001f600 emoji​", "<|endoftext|> inside", "tab\tand  two spaces", "don't 12,345.67", "你好 世界",
@@ -46,6 +46,16 @@ def test_chunked_ids_equal_the_library(library):
     assert ids.tolist() == [i for x in expected for i in x]
 
 
+def test_chunk_of_more_ids_than_a_place_and_length_share(library):
+    texts = ["before it", "a1" * 530_000, "after it"]
+    coder = ChunkEncoder(tokenizer_path())
+    ids, counts = coder.encode([t.encode() for t in texts], 2)
+    expected = [ids_of(library, t, 2) for t in texts]
+    assert len(expected[1]) > 1 << 20
+    assert counts.tolist() == [len(x) for x in expected]
+    assert ids.tolist() == [i for x in expected for i in x]
+
+
 def test_every_id_is_packed_once(documents, library):
     rows = rows_of()
     out = packing.pack(documents(rows).coalesce(1), capacity=256, group=20).collect()

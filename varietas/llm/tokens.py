@@ -35,8 +35,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class ChunkEncoder:
-    """Ids of texts.  ``pool`` holds the ids of the chunks seen; ``seen``
-    maps a chunk to ``place * 2^20 + number of ids`` in it."""
+    """Ids of texts.  ``pool`` holds the ids of the chunks seen, one after the
+    other; ``seen`` numbers the chunks and ``bounds`` says where each ends."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,6 +51,7 @@ class ChunkEncoder:
     def forget(self) -> None:
         self.seen: dict[str, int] = {"": 0}
         self.pool = array("I")
+        self.bounds = array("q", [0, 0])
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,14 +63,14 @@ class ChunkEncoder:
         ids = np.asarray(self.whole([" ".join(plain)])[0], np.uint32)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(plain):
-            place = len(self.pool)
+            self.bounds.frombytes((len(self.pool) + cuts).astype(np.int64).tobytes())
             self.pool.frombytes(ids.tobytes())
-            firsts = np.concatenate([[0], cuts[:-1]])[:len(cuts)]
-            self.seen.update(zip(plain, (((place + firsts) << 20) + cuts - firsts).tolist()))
+            self.seen.update(zip(plain, range(len(self.seen), len(self.seen) + len(plain))))
         odd = [w for w in new if w not in self.seen]
         for w, ids in zip(odd, self.whole(odd)):
-            self.seen[w] = (len(self.pool) << 20) + len(ids)
             self.pool.extend(ids)
+            self.bounds.append(len(self.pool))
+            self.seen[w] = len(self.seen)
 
     def split(self, texts: list[str]) -> pa.ListArray:
         """Chunks of texts without special tokens.  ASCII letters are
@@ -108,8 +109,10 @@ class ChunkEncoder:
         if new:
             self.learn(new)
         known = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+        bounds = np.frombuffer(self.bounds, np.int64)
         at = known[coded.indices.to_numpy()]
-        lens = at & 0xFFFFF
+        places = bounds[at]
+        lens = bounds[at + 1] - places
         ends = np.concatenate([[0], np.cumsum(lens)])
         counts = np.diff(ends[lists.offsets.to_numpy()]) + 1
         stops = np.cumsum(counts) - 1
@@ -118,7 +121,7 @@ class ChunkEncoder:
         body = np.ones(len(out), bool)
         body[stops] = False
         if len(at):
-            take = np.repeat((at >> 20) - ends[:-1], lens) + np.arange(ends[-1])
+            take = np.repeat(places - ends[:-1], lens) + np.arange(ends[-1])
             out[body] = np.frombuffer(self.pool, np.uint32)[take] if len(take) else 0
         return out, counts
 
