@@ -178,6 +178,26 @@ for _key, _m in (("homogenization_rougel", "rouge_l"), ("homogenization_jaccard"
 m AS (SELECT ds_name, trial, avg({_m}) AS tm FROM scored GROUP BY ALL)
 SELECT ds_name, {r6('avg(tm)', 'homogenization')}, {r6('stddev_pop(tm)', 'std')} FROM m GROUP BY ALL"""
 
+for _key, _m in (("rougel", "rouge_l"), ("jaccard", "jaccard")):
+    ORACLE[f"homogenization_{_key}_estimate"] = f"""WITH {HPAIRS}, {SCORED},
+e AS (SELECT ds_name, count(*) AS n_pairs, avg({_m}) AS estimate,
+        stddev_samp({_m}) / sqrt(count(*)) AS std_error FROM scored GROUP BY ds_name),
+r AS (SELECT ds_name, count(*) AS n_rows FROM ({S_DOCS}) GROUP BY ds_name)
+SELECT ds_name, n_rows, coalesce(n_pairs, 0) AS n_pairs, {r6('estimate', 'estimate')},
+  {r6('std_error', 'std_error')} FROM r LEFT JOIN e USING (ds_name)"""
+
+ORACLE["homogenization_cosine"] = f"""
+WITH k AS (SELECT ds_name, doc_id, pos, {P.tokens('nl_instructions')} AS tk FROM ({S_DOCS})),
+c AS (SELECT ds_name, doc_id, pos, token, count(*) AS n
+      FROM (SELECT ds_name, doc_id, pos, unnest(tk) AS token FROM k) GROUP BY ALL),
+u AS (SELECT ds_name, token, n / sqrt(sum(n * n) OVER (PARTITION BY ds_name, doc_id, pos)) AS w FROM c),
+q AS (SELECT ds_name, sum(s * s) AS q
+      FROM (SELECT ds_name, token, sum(w) AS s FROM u GROUP BY ALL) GROUP BY ds_name),
+r AS (SELECT ds_name, count(*) AS n_rows, count(*) FILTER (len(tk) > 0) AS m FROM k GROUP BY ds_name)
+SELECT ds_name, n_rows, n_rows * (n_rows - 1) AS n_pairs,
+  {r6('CASE WHEN n_rows > 1 THEN (coalesce(q, 0) - m) / (n_rows * (n_rows - 1.0)) END', 'homogenization')}
+FROM r LEFT JOIN q USING (ds_name)"""
+
 # ---------------------------------------------------------------- N: annotation
 from varietas.operators.annotate import _DEP_LABEL  # noqa: E402
 

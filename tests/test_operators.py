@@ -3,6 +3,7 @@
 import gzip
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window
@@ -88,6 +89,33 @@ def test_homogenization_estimator(spark):
     assert pairs.filter(F.col("q_idx") == F.col("r_idx")).count() == 0
 
 
+def test_homogenization_cosine_equals_all_pairs(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("a b c d e f g".split()) for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    S = clean_and_standardize(_corpus(spark, [*texts, "- -", texts[0]]))
+    rows = [Counter(r.nl_instructions.split()) for r in S.collect()]
+    assert sum(not r for r in rows) == 1
+
+    def cosine(a, b):
+        size = math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+        return sum(n * b[t] for t, n in a.items()) / size if size else 0.0
+
+    exact = sum(cosine(a, b) for i, a in enumerate(rows) for j, b in enumerate(rows) if i != j)
+    pairs = len(rows) * (len(rows) - 1)
+    for by in (None, []):
+        out = diversity.homogenization_cosine(S, by).first()
+        assert (out.n_rows, out.n_pairs) == (len(rows), pairs)
+        assert out.homogenization == pytest.approx(exact / pairs, abs=1e-12)
+
+
+def test_homogenization_of_one_row_is_null(spark):
+    S = clean_and_standardize(_corpus(spark, ["one row only"]))
+    out = diversity.homogenization_cosine(S).first()
+    assert (out.n_rows, out.n_pairs, out.homogenization) == (1, 0, None)
+    out = diversity.homogenization_estimate(S, "jaccard").first()
+    assert (out.n_rows, out.n_pairs, out.estimate, out.std_error) == (1, 0, None, None)
+
+
 def test_sampling_is_deterministic_across_partitions(spark):
     S = clean_and_standardize(_corpus(spark, [f"text {i}. more {i}" for i in range(200)]))
     a = sampling.sample_pairs(S, 50, 2, seed=7).select("trial", "sid", "q_idx", "r_idx")

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from varietas.functions.text import tokenize
 from varietas.operators.ordering import prefix_sum
 from varietas.operators.pairwise import pair_score
-from varietas.operators.sampling import sample_pairs, trial_means, trial_summary
+from varietas.operators.sampling import index_corpus, sample_pairs, trial_means, trial_summary
 
 TEXT = "nl_instructions"
 DEFAULT_BY = ("ds_name",)
@@ -153,11 +153,74 @@ def homogenization(S: DataFrame, measure: str = "rouge_l", n_samples: int = 1000
 
     Estimated from ``trials x n_samples`` uniform draws of pairs i != j
     (seeded, reproducible); ``avg`` is the estimate and ``std`` the spread
-    of the trial means.  The exact all-pairs mean is quadratic in the
-    corpus, so it is not enumerated.
+    of the trial means.  The exact all-pairs mean of these measures is
+    quadratic in the corpus, so it is not enumerated;
+    ``homogenization_cosine`` is exact.
     """
     keys = _by(by)
     pairs = sample_pairs(S, n_samples, trials, seed, keys, distinct=True, index=index)
     scored = pairs.withColumn("score", pair_score(measure, f"q_{TEXT}", f"r_{TEXT}"))
     return trial_summary(trial_means(scored, "score", keys), keys) \
         .withColumnRenamed("avg", "homogenization")
+
+
+def homogenization_estimate(S: DataFrame, measure: str = "rouge_l", n_samples: int = 1000,
+                            trials: int = 3, seed: int = 0, by: Sequence[str] | None = None) -> DataFrame:
+    """The estimate of :func:`homogenization` (same draws) with the number of
+    rows, of pairs drawn and its standard error; null for fewer than 2 rows."""
+    keys = _by(by)
+    index = index_corpus(S, keys)
+    pairs = sample_pairs(S, n_samples, trials, seed, keys, distinct=True, index=index)
+    scored = pairs.select(*keys, pair_score(measure, f"q_{TEXT}", f"r_{TEXT}").alias("_score"),
+                          F.lit(None).cast("bigint").alias("_n"))
+    sizes = index[1].select(*keys, F.lit(None).cast("double").alias("_score"), F.col("N").alias("_n"))
+    return scored.unionByName(sizes).groupBy(*keys).agg(
+        F.max("_n").alias("n_rows"), F.count("_score").alias("n_pairs"),
+        F.avg("_score").alias("estimate"),
+        (F.stddev_samp("_score") / F.sqrt(F.count("_score"))).alias("std_error"))
+
+
+def _bound(c: Column, f) -> Column:
+    """``f(c)`` with ``c`` evaluated once, also where lambdas use it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def token_weights(tokens: Column) -> Column:
+    """Distinct tokens with their weights in the row's unit count vector."""
+    def runs(t):
+        firsts = F.filter(F.sequence(F.lit(0), F.size(t) - 1),
+                          lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        return _bound(firsts, lambda at: F.transform(at, lambda a, k: F.struct(
+            F.get(t, a).alias("token"),
+            (F.coalesce(F.get(at, k + 1), F.size(t)) - a).cast("double").alias("n"))))
+
+    def unit(counts):
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda z, c: z + c["n"] * c["n"]))
+        return _bound(norm, lambda size: F.transform(
+            counts, lambda c: F.struct(c["token"].alias("token"), (c["n"] / size).alias("w"))))
+
+    return F.when(F.size(tokens) > 0, _bound(_bound(F.sort_array(tokens), runs), unit))
+
+
+def homogenization_cosine(S: DataFrame, by: Sequence[str] | None = None,
+                          text_col: str = TEXT) -> DataFrame:
+    """D2, exact: mean cosine of the token count vectors over all ordered
+    pairs of different rows, ``(|sum of unit vectors|^2 - M) / (N (N - 1))``
+    with ``M`` of the ``N`` rows holding a token; null for fewer than 2 rows.
+    A row without tokens has cosine 0 with every other."""
+    keys = _by(by)
+    rows = S.filter(F.col(text_col).isNotNull()).select(*keys, tokenize(text_col).alias("_toks"))
+    sizes = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(F.when(F.size("_toks") > 0, 1)).alias("_m")) \
+        .withColumn("_q", F.lit(0.0))
+    sums = rows.select(*keys, F.explode(token_weights(F.col("_toks"))).alias("_t")) \
+        .groupBy(*keys, "_t.token").agg(F.sum("_t.w").alias("_s"))
+    none = F.lit(0).cast("bigint")
+    squares = sums.groupBy(*keys).agg(F.sum(F.col("_s") * F.col("_s")).alias("_q")) \
+        .select(*keys, none.alias("_n"), none.alias("_m"), "_q")
+    n = F.col("n_rows").cast("double")
+    return sizes.unionByName(squares).groupBy(*keys).agg(
+        F.sum("_n").alias("n_rows"), F.sum("_m").alias("_m"), F.sum("_q").alias("_q")) \
+        .select(*keys, "n_rows", (F.col("n_rows") * (F.col("n_rows") - 1)).alias("n_pairs"),
+                F.when(F.col("n_rows") > 1, (F.col("_q") - F.col("_m")) / (n * (n - 1)))
+                .alias("homogenization"))

@@ -228,6 +228,23 @@ QUERIES["homogenization_rougel"] = _homogenization("rouge_l")
 QUERIES["homogenization_jaccard"] = _homogenization("jaccard")
 
 
+def _homogenization_estimate(measure):
+    def q(spark, sf_dir):
+        out = diversity.homogenization_estimate(sentences(spark, sf_dir), measure, N_SAMPLES, TRIALS, SEED)
+        return out.select("ds_name", "n_rows", "n_pairs", r6("estimate"), r6("std_error"))
+    return q
+
+
+QUERIES["homogenization_rougel_estimate"] = _homogenization_estimate("rouge_l")
+QUERIES["homogenization_jaccard_estimate"] = _homogenization_estimate("jaccard")
+
+
+@query("homogenization_cosine")
+def q_homogenization_cosine(spark, sf_dir):
+    out = diversity.homogenization_cosine(sentences(spark, sf_dir))
+    return out.select("ds_name", "n_rows", "n_pairs", r6("homogenization"))
+
+
 # ---------------------------------------------------------------- N: annotation
 from varietas.operators import annotate  # noqa: E402
 

@@ -33,6 +33,7 @@ LINES = {
     "homogenization": "Homogenization Score for rougel: {v}. ",
     "ngram_diversity": "Ngram Diversity Score for 4-gram: {v}. ",
     "common_patterns": "Common Parses:\n{v}",
+    "homogenization_cosine": "Homogenization (mean cosine over all pairs): {v}. ",
 }
 ORDER = {m: i for i, m in enumerate(LINES)}
 PAIR_METRICS = ("rouge_l", "rouge_1", "bleu", "levenshtein", "jaccard")
@@ -121,6 +122,9 @@ def build_report(S: DataFrame, metrics: Sequence[str] = ALL_METRICS,
     if "homogenization" in metrics:
         parts.append(_rows(diversity.homogenization(S, "rouge_l", n_samples, trials, seed, keys, idx),
                            keys, "homogenization", "homogenization", "std"))
+    if "homogenization_cosine" in metrics:
+        parts.append(_rows(diversity.homogenization_cosine(S, keys), keys, "homogenization_cosine",
+                           "homogenization", None))
     if "ngram_diversity" in metrics:
         parts.append(_rows(diversity.ngram_diversity(S, 4, keys), keys, "ngram_diversity",
                            "ngram_diversity", None))
