@@ -75,6 +75,25 @@ def test_compression_one_block_is_exact(spark):
     assert multi.n_blocks > 1 and multi.raw_bytes == row.raw_bytes
 
 
+def test_compression_ratio_is_the_same_for_any_block_size(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(words[int(3000 * rng.random() ** 3)] for _ in range(rng.randint(5, 60))) for _ in range(8000)]
+    long = " ".join(rng.choices(words, k=40000))  # spans several small blocks
+    texts[100] = long
+    texts[6000:6000] = texts[5800:5900] * 2  # repeated near by
+    S = clean_and_standardize(_corpus(spark, texts))
+    joined = " ".join(r.nl_instructions for r in S.orderBy("doc_id", "pos").collect()).encode()
+    assert len(joined) > 1 << 20
+    whole = len(joined) / diversity.gzip_size(joined)
+    one = diversity.compression_ratio(S, block_bytes=1 << 30).first()
+    assert one.n_blocks == 1 and one.gz_bytes == diversity.gzip_size(joined)
+    for size in (1 << 16, 1 << 20):
+        row = diversity.compression_ratio(S, block_bytes=size).first()
+        assert row.n_blocks > 1 and row.raw_bytes == len(joined)
+        assert row.compression_ratio == pytest.approx(whole, rel=0.005)
+
+
 def test_homogenization_estimator(spark):
     rng = random.Random(11)
     words = "pick place the red blue block box drawer open close".split()

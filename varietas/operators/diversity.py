@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from typing import Sequence
 
 import pandas as pd
@@ -30,6 +31,8 @@ ORDER = ("doc_id", "pos")
 NGRAM_BUCKET = 1 << 20
 # Raw bytes per compression block.
 COMPRESSION_BLOCK = 1 << 20
+# Bytes that deflate looks back.
+WINDOW = 1 << 15
 
 
 def _by(by) -> list[str]:
@@ -106,12 +109,28 @@ def gzip_size(data: bytes, name: str = "tmp.txt") -> int:
     return len(buf.getvalue())
 
 
+# Header and trailer of the file of ``gzip_size``; an empty text deflates to 2.
+GZIP_FRAME = gzip_size(b"") - 2
+
+
 def _compress_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Deflated size of a block as part of one stream: with the text before
+    it as the window, and ended as a middle (``sync``) or the last part."""
     pdf = pdf.sort_values("_off")
-    raw = " ".join(pdf["_text"].tolist()).encode("utf-8")
-    out = pdf.iloc[:1][[c for c in pdf.columns if c not in ("_off", "_text")]].copy()
+    own = pdf[pdf["_own"]]
+    out = own.iloc[:1][[c for c in pdf.columns if c not in ("_off", "_text", "_own")]].copy()
+    if not len(own):  # no row starts in this block
+        return out.assign(raw_bytes=0, sync_bytes=0, last_bytes=0)
+    raw = b" ".join(own["_text"].tolist())
+    before = b" ".join(pdf.loc[~pdf["_own"], "_text"].tolist())[-WINDOW:]
+    coder = zlib.compressobj(9, zlib.DEFLATED, -zlib.MAX_WBITS, zlib.DEF_MEM_LEVEL,
+                             zlib.Z_DEFAULT_STRATEGY, before)
+    part = raw if own["_off"].iloc[0] == 0 else b" " + raw
+    size = len(coder.compress(part))
+    middle = coder.copy()
     out["raw_bytes"] = len(raw)
-    out["gz_bytes"] = gzip_size(raw)
+    out["sync_bytes"] = size + len(middle.flush(zlib.Z_SYNC_FLUSH))
+    out["last_bytes"] = size + len(coder.flush(zlib.Z_FINISH))
     return out
 
 
@@ -120,24 +139,33 @@ def compression_ratio(S: DataFrame, by: Sequence[str] | None = None, text_col: s
     """Bytes of the space-joined corpus / bytes of its gzip.
 
     The corpus is cut into blocks of about ``block_bytes`` (byte offsets
-    from a distributed prefix sum) and each block is gzipped in its own
+    from a distributed prefix sum) and each block is deflated in its own
     Arrow batch (``applyInPandas`` on ``(group, block)``: bounded input per
-    call).  One block is exactly the single-file ratio; more blocks lose
-    some cross-block redundancy (the ratio is a slight underestimate), and
-    ``n_blocks`` is reported with it.
+    call), primed with the ``WINDOW`` bytes before it.  The parts are one
+    gzip stream with one header; a block adds the few bytes that end it.
     """
     keys = _by(by)
-    sized = S.select(*keys, *ORDER, F.col(text_col).alias("_text"))
+    sized = S.select(*keys, *ORDER, F.col(text_col).cast("binary").alias("_text"))
     offs, totals = prefix_sum(sized, F.octet_length("_text") + 1, list(ORDER), keys, out_col="_off")
-    blocks = offs.withColumn("_blk", (F.col("_off") / block_bytes).cast("bigint")) \
-        .select(*keys, "_blk", "_off", "_text")
+    offs = offs.withColumn("_blk", (F.col("_off") / block_bytes).cast("bigint"))
+    own = offs.select(*keys, "_blk", "_off", "_text", F.lit(True).alias("_own"))
+    # the next row starts at ``end``; blocks that start less than a window
+    # later see the row's end
+    end = F.col("_off") + F.octet_length("_text") + 1
+    after = F.greatest(F.col("_blk") + 1, (end / block_bytes).cast("bigint"))
+    upto = ((end + WINDOW - 1) / block_bytes).cast("bigint")
+    window = offs.where(upto >= after).select(
+        *keys, F.explode(F.sequence(after, upto)).alias("_blk"), "_off",
+        F.expr(f"substring(_text, -{WINDOW}, {WINDOW})").alias("_text"), F.lit(False).alias("_own"))
+    blocks = own.unionByName(window)
+    sizes = ("raw_bytes", "sync_bytes", "last_bytes")
     schema = T.StructType([*[f for f in blocks.schema.fields if f.name in keys],
                            T.StructField("_blk", T.LongType()),
-                           T.StructField("raw_bytes", T.LongType()),
-                           T.StructField("gz_bytes", T.LongType())])
+                           *[T.StructField(c, T.LongType()) for c in sizes]])
     per_block = blocks.groupBy(*keys, "_blk").applyInPandas(_compress_block, schema)
     out = per_block.groupBy(*keys).agg(
-        F.sum("raw_bytes").alias("raw_bytes_blocks"), F.sum("gz_bytes").alias("gz_bytes"),
+        (F.sum("sync_bytes") + F.max_by(F.col("last_bytes") - F.col("sync_bytes"), "_blk")
+         + GZIP_FRAME).alias("gz_bytes"),
         F.count(F.lit(1)).alias("n_blocks"))
     # raw size of the whole joined text: sum of (bytes + 1) minus the last separator
     out = out.join(totals, on=keys).withColumn("raw_bytes", F.col("total") - 1)
