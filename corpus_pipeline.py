@@ -7,8 +7,9 @@ and returns the columns of ``documents``; the last returns the packed pieces.
 2. line dedup: lines spread over sites are removed from all documents but
    their first; a document that loses its whole text this way is dropped.
 3. near duplicates: of each group of linked documents the one with the
-   smallest ``doc_id`` stays (one row, if rows repeat); documents without
-   shingles are linked with nothing and stay.
+   smallest ``doc_id`` stays (one row, also if ids are null, which come
+   last, or repeat; then the text's hash decides); documents without shingles
+   are linked with nothing and stay.
 4. decontamination: documents of which a twentieth or more is benchmark text
    are dropped.
 5. packing: the remaining texts as pieces of sequences.
@@ -42,18 +43,20 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = written(jaccard_join.jaccard_components(docs), "groups")
-    by_id = groups.where("n_shingles > 0").groupBy("doc_id").agg(
-        F.min(F.col("doc_id") > F.col("component_id")).alias("later"), F.count(F.lit(1)).alias("rows"))
-    own = unused(docs, "_id")
-    dropped = by_id.where("later").select(F.col("doc_id").alias(own))
-    kept = docs.join(dropped, F.col("doc_id") == F.col(own), "left_anti")
-    repeated = by_id.where("rows > 1 and not later").select(F.col("doc_id").alias(own))
-    if not repeated.take(1):
-        return kept
-    once = kept.join(repeated, F.col("doc_id") == F.col(own), "left_semi")
-    return kept.join(repeated, F.col("doc_id") == F.col(own), "left_anti") \
-        .unionByName(once.dropDuplicates(["doc_id", "text"]))
+    row = unused(docs, "_row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))  # equal rows are alike
+    groups = written(jaccard_join.jaccard_components(keyed, key=row), "groups").where("n_shingles > 0")
+    members = groups.select(row, "component_id").distinct().join(
+        keyed.select(row, F.col("doc_id").alias("key")).distinct(), row)
+    first = members.groupBy("component_id").agg(
+        F.min(F.struct(F.col("key").isNull().alias("last"), "key", row)).alias("first"))
+    dropped = members.join(first, "component_id").where(F.col(row) != F.col(f"first.{row}")).select(row)
+    kept = keyed.join(dropped, row, "left_anti")
+    repeated = groups.groupBy(row).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(row)
+    if repeated.take(1):
+        once = kept.join(repeated, row, "left_semi").dropDuplicates([row])
+        kept = kept.join(repeated, row, "left_anti").unionByName(once)
+    return kept.select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

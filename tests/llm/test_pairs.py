@@ -124,6 +124,26 @@ def test_jaccard_threshold_is_inclusive(documents):
     assert sorted(tuple(r) for r in out) == brute_components(rows)
 
 
+def test_one_row_of_each_group_stays_whatever_the_keys(spark, documents):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(prose(random.Random(i), 60)) for i in range(4))
+    rows = [(None, a), (None, a), (None, a + " end"),  # null keys alone
+            (7, b), (7, b + " end"), (7, b + " end"),  # one key, near texts
+            (None, c), (9, c), (8, c + " end"), (8, d),  # 8 stays, and d of the same key
+            (None, ""), (None, ""), (3, None)]
+    docs = documents(rows)
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    assert len([k for k, t in kept if t and t.startswith(a)]) == 1
+    assert len([k for k, t in kept if t and t.startswith(b)]) == 1
+    assert [k for k in kept if k[1] and not k[1].startswith((a, b))].count((8, d)) == 1
+    assert [k for k in kept if k[1] and k[1].startswith(c)] == [(8, c + " end")]
+    assert sorted((k for k in kept if not k[1]), key=repr) == sorted(rows[-3:], key=repr)
+    assert len(kept) == 7
+
+
 # --------------------------------------------------------------- line dedup
 def brute_lines(rows, min_sites=10, words=50, passage_sites=2):
     docs = {(k, t or "", s or "") for k, t, s in rows}
