@@ -11,7 +11,7 @@ import corpus_pipeline
 from varietas.llm import queries
 from varietas.llm.common import table
 
-TABLES = ("documents", "benchmark", "labels", "conversations")
+TABLES = ("documents", "benchmark", "labels", "conversations", "embeddings")
 
 
 def sorted_rows(columns, rows):

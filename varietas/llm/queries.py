@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from varietas.llm import (chat, decontaminate, fingerprint, jaccard_join, language, linededup,
-                          packing, quality, sharding, token_files)
+from varietas.llm import (chat, decontaminate, fingerprint, hard_negatives, jaccard_join, language,
+                          linededup, packing, quality, sharding, token_files)
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_chat_format": chat.op9_chat_format,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
 }
 
 ORACLE = {
@@ -23,4 +24,5 @@ ORACLE = {
     "op6_line_dedup": linededup.OP6_SQL,
     "op9_chat_format": chat.OP9_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
 }
