@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from varietas.llm import (chat, decontaminate, fingerprint, hard_negatives, jaccard_join, language,
-                          linededup, packing, quality, sharding, spelling, token_files)
+                          linededup, packing, private_data, quality, sharding, spelling,
+                          token_files)
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -17,6 +18,7 @@ QUERIES = {
     "op9_chat_format": chat.op9_chat_format,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_personal_data": private_data.op12_personal_data,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
