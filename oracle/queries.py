@@ -101,6 +101,52 @@ c AS (SELECT ds_name, word || ' ' || following AS bigram, count(*) AS n FROM f
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY ds_name ORDER BY n DESC, bigram) AS INTEGER) AS rank FROM c)
 SELECT * FROM r WHERE rank <= 100"""
 
+
+def _collocations(corpus: str, by: str, top: int) -> str:
+    """Words and pairs whose log-likelihood ratio exceeds 30; ``by`` is the
+    group column (a constant for an ungrouped run)."""
+    entropy = lambda *cells: " + ".join(f"(CASE WHEN {c} > 0 THEN ({c}) * ln({c}) ELSE 0 END)" for c in cells)
+    both, first, second, rest = "n", "(c1 - n)", "(c2 - n)", "(total - c1 - c2 + n)"
+    # the ratio as sums of x ln x over the cells and margins of the 2 x 2 table
+    llr = (f"2 * ({entropy(both, first, second, rest)} + {entropy('total')}"
+           f" - ({entropy('c1', '(total - c1)', 'c2', '(total - c2)')}))")
+    return f"""
+WITH s AS (SELECT {by} AS g, nl_instructions, row_number() OVER () AS sentence FROM ({corpus})),
+w AS (SELECT g, sentence, generate_subscripts(l, 1) AS place, unnest(l) AS word FROM (
+        SELECT g, sentence, regexp_extract_all(nl_instructions, '{WORD_RE}', 1) AS l FROM s)),
+w2 AS (SELECT g, sentence, place, CASE WHEN lower(word) LIKE '%''s' THEN left(lower(word), length(word) - 2)
+         ELSE lower(word) END AS word FROM w),
+f AS MATERIALIZED (SELECT g, word, lead(word) OVER (PARTITION BY sentence ORDER BY place) AS following
+      FROM w2 WHERE word <> '' AND NOT regexp_matches(word, '^\\p{{Nd}}+$')),
+u AS MATERIALIZED (SELECT g, word AS raw, count(*) AS n FROM f WHERE word NOT IN ({STOP_IN}) GROUP BY ALL),
+b AS (SELECT g, word || ' ' || following AS raw, count(*) AS n FROM f
+      WHERE following IS NOT NULL AND word NOT IN ({STOP_IN}) AND following NOT IN ({STOP_IN}) GROUP BY ALL),
+ux AS MATERIALIZED (SELECT *, CASE WHEN raw LIKE '%s' AND raw NOT LIKE '%ss' THEN left(raw, length(raw) - 1) END AS stem FROM u),
+us AS MATERIALIZED (SELECT x.g, x.raw, coalesce(o.raw, x.raw) AS std, x.n FROM ux x LEFT JOIN ux o ON o.g = x.g AND o.raw = x.stem),
+ut AS (SELECT g, std, sum(n) AS n FROM us GROUP BY ALL),
+bst AS MATERIALIZED (SELECT *, CASE WHEN raw LIKE '%s' AND raw NOT LIKE '%ss' THEN left(raw, length(raw) - 1) END AS stem FROM b),
+bm AS (SELECT x.g, coalesce(o.raw, x.raw) AS bigram, sum(x.n) AS n FROM bst x LEFT JOIN bst o ON o.g = x.g AND o.raw = x.stem GROUP BY ALL),
+bs AS (SELECT *, split_part(bigram, ' ', 1) AS r1, split_part(bigram, ' ', 2) AS r2 FROM bm),
+tt AS (SELECT g, CAST(sum(n) AS DOUBLE) AS total FROM u GROUP BY g),
+uc AS MATERIALIZED (SELECT g, raw, std, CAST(sum(n) OVER (PARTITION BY g, std) AS DOUBLE) AS c FROM us),
+b1 AS MATERIALIZED (SELECT bs.g, bigram, CAST(bs.n AS DOUBLE) AS n, r2, uc.std AS w1, uc.c AS c1
+       FROM bs JOIN uc ON uc.g = bs.g AND uc.raw = r1),
+b2 AS MATERIALIZED (SELECT b1.*, uc.std AS w2, uc.c AS c2 FROM b1 JOIN uc ON uc.g = b1.g AND uc.raw = r2),
+bx AS (SELECT b2.*, total FROM b2 JOIN tt ON tt.g = b2.g),
+bc AS (SELECT *, CASE WHEN total <= c1 OR total <= c2 THEN 0.0 ELSE {llr} END AS score FROM bx),
+ok AS (SELECT * FROM bc WHERE score > 30),
+used AS (SELECT g, word, sum(n) AS n FROM (SELECT g, w1 AS word, n FROM ok UNION ALL SELECT g, w2, n FROM ok) GROUP BY ALL),
+terms AS (SELECT ut.g, ut.std AS term, CAST(ut.n - coalesce(used.n, 0) AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS score
+          FROM ut LEFT JOIN used ON used.g = ut.g AND used.word = ut.std
+          UNION ALL SELECT g, bigram, CAST(n AS BIGINT), score FROM ok),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY g ORDER BY n DESC, term) AS INTEGER) AS rank FROM terms)
+SELECT g, term, n, rank, {r6('n / max(n) OVER (PARTITION BY g)', 'rel')}, round(score, 3) AS score
+FROM r WHERE rank <= {top}"""
+
+
+ORACLE["collocations"] = f"SELECT g AS ds_name, * EXCLUDE g FROM ({_collocations(S_DOCS, 'ds_name', 100)})"
+ORACLE["collocations_all"] = f"SELECT * EXCLUDE g FROM ({_collocations(S_MULTI, '0', 1000)})"
+
 # ---------------------------------------------------------------- R: sampling
 PAIRS = P.pairs_ctes(S_DOCS)
 PAIR_KEYS = "ds_name, trial, sid, q_doc_id, q_pos, r_doc_id, r_pos"
@@ -108,9 +154,19 @@ PAIR_KEYS = "ds_name, trial, sid, q_doc_id, q_pos, r_doc_id, r_pos"
 ORACLE["sample_pairs"] = f"""WITH {PAIRS}
 SELECT {PAIR_KEYS}, q_idx, r_idx, q_nl_instructions, r_nl_instructions FROM pairs"""
 
+ORACLE["sample_pairs_all"] = f"""
+WITH ix AS (SELECT *, row_number() OVER (ORDER BY ds_name, doc_id, pos) - 1 AS row_idx FROM ({S_MULTI})),
+picks AS (SELECT CAST(k // 1000 AS INTEGER) AS trial, CAST(k % 1000 AS INTEGER) AS sid,
+  {P.draw("z.N", f"'{P.SEED}'", "k // 1000", "k % 1000", "'q'")} AS q_idx,
+  {P.draw("z.N", f"'{P.SEED}'", "k // 1000", "k % 1000", "'r'")} AS r_idx
+  FROM (SELECT count(*) AS N FROM ix) z, range(0, 3000) t(k))
+SELECT trial, sid, {", ".join(f"{t}.{c} AS {t}_{c}" for t in "qr" for c in ("ds_name", "doc_id", "pos", "nl_instructions"))},
+  q_idx, r_idx FROM picks JOIN ix q ON q.row_idx = q_idx JOIN ix r ON r.row_idx = r_idx"""
+
 ORACLE["shuffle"] = f"""
-SELECT *, md5(concat_ws('|', '{P.SEED}', ds_name, CAST(doc_id AS VARCHAR), CAST(pos AS VARCHAR))) AS shuffle_key
-FROM ({S_DOCS})"""
+SELECT *, row_number() OVER (PARTITION BY ds_name ORDER BY shuffle_key, doc_id, pos) - 1 AS position FROM (
+  SELECT *, md5(concat_ws('|', '{P.SEED}', ds_name, CAST(doc_id AS VARCHAR), CAST(pos AS VARCHAR))) AS shuffle_key
+  FROM ({S_DOCS}))"""
 
 _swr_draw = P.draw("z.N", f"'{P.SEED}'", "z.ds_name", "t.k // 10000", "(t.k % 10000) // 2500",
                    "t.k % 2500", "'s'")
@@ -143,11 +199,13 @@ scored AS (SELECT *,
 ORACLE["trial_means"] = f"""WITH {PAIRS}, {SCORED}
 SELECT ds_name, trial, {r6('avg(jaccard)', 'trial_mean')} FROM scored GROUP BY ALL"""
 
-ORACLE["trial_summary"] = f"""WITH {PAIRS}, {SCORED},
+# the values as doubles: the report rounds them once, when it prints them
+TRIAL_SUMMARY = f"""WITH {PAIRS}, {SCORED},
 long AS (UNPIVOT (SELECT ds_name, trial, bleu, rouge_l, rouge_1, levenshtein, jaccard FROM scored)
          ON bleu, rouge_l, rouge_1, levenshtein, jaccard INTO NAME metric VALUE score),
 m AS (SELECT ds_name, metric, trial, avg(score) AS tm FROM long GROUP BY ALL)
-SELECT ds_name, metric, {r6('avg(tm)', 'avg')}, {r6('stddev_pop(tm)', 'std')} FROM m GROUP BY ALL"""
+SELECT ds_name, metric, avg(tm) AS avg, stddev_pop(tm) AS std FROM m GROUP BY ALL"""
+ORACLE["trial_summary"] = f"SELECT ds_name, metric, {r6('avg', 'avg')}, {r6('std', 'std')} FROM ({TRIAL_SUMMARY})"
 
 for _m in ("bleu", "rouge_l", "rouge_1", "levenshtein", "jaccard"):
     ORACLE[f"{_m}_pairs"] = f"""WITH {PAIRS}, {SCORED}
@@ -157,26 +215,76 @@ m AS (SELECT ds_name, trial, avg({_m}) AS tm FROM scored GROUP BY ALL)
 SELECT ds_name, {r6('avg(tm)', 'avg')}, {r6('stddev_pop(tm)', 'std')} FROM m GROUP BY ALL"""
 
 # ---------------------------------------------------------------- D: diversity
-ORACLE["ngram_diversity"] = f"""
-WITH t AS (SELECT ds_name, doc_id, pos, unnest(range(len(tk))) AS k, unnest(tk) AS token
-           FROM (SELECT *, {P.tokens('nl_instructions')} AS tk FROM ({S_DOCS}))),
-p AS (SELECT ds_name, token, row_number() OVER (PARTITION BY ds_name ORDER BY doc_id, pos, k) AS p FROM t),
-g AS (SELECT ds_name, token AS g1,
+
+
+def _ngram_diversity(corpus: str, by: str) -> str:
+    return f"""
+WITH t AS (SELECT {by} AS g, ds_name, doc_id, pos, unnest(range(len(tk))) AS k, unnest(tk) AS token
+           FROM (SELECT *, {P.tokens('nl_instructions')} AS tk FROM ({corpus}))),
+p AS (SELECT g, token, row_number() OVER (PARTITION BY g ORDER BY ds_name, doc_id, pos, k) AS p FROM t),
+g AS (SELECT g, token AS g1,
         token || ' ' || lead(token, 1) OVER w AS g2,
         token || ' ' || lead(token, 1) OVER w || ' ' || lead(token, 2) OVER w AS g3,
         token || ' ' || lead(token, 1) OVER w || ' ' || lead(token, 2) OVER w || ' ' || lead(token, 3) OVER w AS g4
-      FROM p WINDOW w AS (PARTITION BY ds_name ORDER BY p)),
-d AS (SELECT ds_name, count(*) AS total, count(DISTINCT g1) AS d1, count(DISTINCT g2) AS d2,
-             count(DISTINCT g3) AS d3, count(DISTINCT g4) AS d4 FROM g GROUP BY ds_name)
-SELECT ds_name, {r6('''d1 / total + (CASE WHEN total > 1 THEN d2 / (total - 1) ELSE 0 END)
-  + (CASE WHEN total > 2 THEN d3 / (total - 2) ELSE 0 END) + (CASE WHEN total > 3 THEN d4 / (total - 3) ELSE 0 END)''',
-  'ngram_diversity')}, total AS n_tokens FROM d"""
+      FROM p WINDOW w AS (PARTITION BY g ORDER BY p)),
+d AS (SELECT g, count(*) AS total, count(DISTINCT g1) AS d1, count(DISTINCT g2) AS d2,
+             count(DISTINCT g3) AS d3, count(DISTINCT g4) AS d4 FROM g GROUP BY g)
+SELECT g, d1 / total + (CASE WHEN total > 1 THEN d2 / (total - 1) ELSE 0 END)
+  + (CASE WHEN total > 2 THEN d3 / (total - 2) ELSE 0 END)
+  + (CASE WHEN total > 3 THEN d4 / (total - 3) ELSE 0 END) AS ngram_diversity, total AS n_tokens FROM d"""
+
+
+NGRAM_DIVERSITY = f"SELECT g AS ds_name, * EXCLUDE g FROM ({_ngram_diversity(S_DOCS, 'ds_name')})"
+ORACLE["ngram_diversity_all"] = (f"SELECT {r6('ngram_diversity', 'ngram_diversity')}, n_tokens "
+                                 f"FROM ({_ngram_diversity(S_MULTI, '0')})")
+ORACLE["ngram_diversity"] = f"SELECT ds_name, {r6('ngram_diversity', 'ngram_diversity')}, n_tokens FROM ({NGRAM_DIVERSITY})"
+
+
+def _blocks(corpus: str, by: str, size: int) -> str:
+    return f"""
+WITH o AS (SELECT {by} AS g, ds_name, doc_id, pos, nl_instructions AS t,
+             coalesce(sum(strlen(nl_instructions) + 1) OVER (PARTITION BY {by} ORDER BY ds_name, doc_id, pos
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM ({corpus})),
+j AS (SELECT g, CAST(off // {size} AS BIGINT) AS block, count(*) AS n_texts, string_agg(t, ' ' ORDER BY off) AS text
+      FROM o GROUP BY ALL)
+SELECT g, block, n_texts, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS md5 FROM j"""
+
+
+ORACLE["compression_blocks"] = f"SELECT g AS ds_name, * EXCLUDE g FROM ({_blocks(S_DOCS, 'ds_name', 1 << 14)})"
+ORACLE["compression_blocks_all"] = f"SELECT * EXCLUDE g FROM ({_blocks(S_MULTI, '0', 1 << 20)})"
+
+_two = lambda x: (f"CAST('0x' || substr(md5({x}), 1, 8) AS BIGINT) % 2147483647 AS {{0}}, "
+                  f"CAST('0x' || substr(md5({x}), 9, 8) AS BIGINT) % 2147483647 AS {{1}}")
+HOMOGENIZATION_MINHASH = f"""
+WITH k AS (SELECT ds_name, doc_id, pos, {P.lower_set('nl_instructions')} AS tk FROM ({S_DOCS})),
+e AS (SELECT ds_name, doc_id, pos, unnest(tk) AS token FROM k),
+v AS (SELECT token, {_two('token').format('x', 'y')} FROM (SELECT DISTINCT token FROM e)),
+co AS (SELECT j, {_two("'minhash ' || j").format('a', 'b')} FROM range(256) r(j)),
+h AS (SELECT token, j, (x * a % 2147483647 + y * b) % 2147483647 AS h FROM v, co),
+m AS (SELECT ds_name, doc_id, pos, j, min(h) AS h FROM e JOIN h USING (token) GROUP BY ALL),
+c AS (SELECT ds_name, j, h, CAST(count(*) AS DOUBLE) AS c FROM m GROUP BY ALL),
+q AS (SELECT ds_name, j, sum(c * (c - 1)) AS s FROM c GROUP BY ALL),
+z AS (SELECT ds_name, avg(s) AS s, stddev_samp(s) / 16 AS e FROM q GROUP BY ds_name),
+r AS (SELECT ds_name, count(*) AS n_rows FROM k GROUP BY ds_name)
+SELECT ds_name, n_rows, n_rows * (n_rows - 1) AS n_pairs,
+  CASE WHEN n_rows > 1 THEN coalesce(s, 0) / (n_rows * (n_rows - 1.0)) END AS homogenization,
+  CASE WHEN n_rows > 1 THEN coalesce(e, 0) / (n_rows * (n_rows - 1.0)) END AS std_error
+FROM r LEFT JOIN z USING (ds_name)"""
+ORACLE["homogenization_minhash"] = (f"SELECT ds_name, n_rows, n_pairs, {r6('homogenization', 'homogenization')}, "
+                                    f"{r6('std_error', 'std_error')} FROM ({HOMOGENIZATION_MINHASH})")
 
 HPAIRS = P.pairs_ctes(S_DOCS, distinct=True)
+
+
+def _homogenization(metric: str) -> str:
+    return f"""WITH {HPAIRS}, {SCORED},
+m AS (SELECT ds_name, trial, avg({metric}) AS tm FROM scored GROUP BY ALL)
+SELECT ds_name, avg(tm) AS homogenization, stddev_pop(tm) AS std FROM m GROUP BY ALL"""
+
+
 for _key, _m in (("homogenization_rougel", "rouge_l"), ("homogenization_jaccard", "jaccard")):
-    ORACLE[_key] = f"""WITH {HPAIRS}, {SCORED},
-m AS (SELECT ds_name, trial, avg({_m}) AS tm FROM scored GROUP BY ALL)
-SELECT ds_name, {r6('avg(tm)', 'homogenization')}, {r6('stddev_pop(tm)', 'std')} FROM m GROUP BY ALL"""
+    ORACLE[_key] = (f"SELECT ds_name, {r6('homogenization', 'homogenization')}, {r6('std', 'std')} "
+                    f"FROM ({_homogenization(_m)})")
 
 for _key, _m in (("rougel", "rouge_l"), ("jaccard", "jaccard")):
     ORACLE[f"homogenization_{_key}_estimate"] = f"""WITH {HPAIRS}, {SCORED},
@@ -186,7 +294,7 @@ r AS (SELECT ds_name, count(*) AS n_rows FROM ({S_DOCS}) GROUP BY ds_name)
 SELECT ds_name, n_rows, coalesce(n_pairs, 0) AS n_pairs, {r6('estimate', 'estimate')},
   {r6('std_error', 'std_error')} FROM r LEFT JOIN e USING (ds_name)"""
 
-ORACLE["homogenization_cosine"] = f"""
+HOMOGENIZATION_COSINE = f"""
 WITH k AS (SELECT ds_name, doc_id, pos, {P.tokens('nl_instructions')} AS tk FROM ({S_DOCS})),
 c AS (SELECT ds_name, doc_id, pos, token, count(*) AS n
       FROM (SELECT ds_name, doc_id, pos, unnest(tk) AS token FROM k) GROUP BY ALL),
@@ -195,11 +303,13 @@ q AS (SELECT ds_name, sum(s * s) AS q
       FROM (SELECT ds_name, token, sum(w) AS s FROM u GROUP BY ALL) GROUP BY ds_name),
 r AS (SELECT ds_name, count(*) AS n_rows, count(*) FILTER (len(tk) > 0) AS m FROM k GROUP BY ds_name)
 SELECT ds_name, n_rows, n_rows * (n_rows - 1) AS n_pairs,
-  {r6('CASE WHEN n_rows > 1 THEN (coalesce(q, 0) - m) / (n_rows * (n_rows - 1.0)) END', 'homogenization')}
+  CASE WHEN n_rows > 1 THEN (coalesce(q, 0) - m) / (n_rows * (n_rows - 1.0)) END AS homogenization
 FROM r LEFT JOIN q USING (ds_name)"""
+ORACLE["homogenization_cosine"] = (f"SELECT ds_name, n_rows, n_pairs, {r6('homogenization', 'homogenization')} "
+                                   f"FROM ({HOMOGENIZATION_COSINE})")
 
 # ---------------------------------------------------------------- N: annotation
-from varietas.operators.annotate import _DEP_LABEL  # noqa: E402
+from varietas.operators.annotate import _DEP_LABEL, AUX_WORDS, UPOS  # noqa: E402
 
 TAGGED = P.tagged_ctes(S_DOCS)
 ANN = P.annotated_ctes(S_DOCS)
@@ -212,6 +322,14 @@ c AS (SELECT lower(token) AS token, tag, count(*) AS n FROM tagged2 GROUP BY ALL
 r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY n DESC, tag) AS rr FROM c)
 SELECT token, tag, n FROM r WHERE rr = 1"""
 
+_tag_upos = " ".join(f"WHEN {P._q(k)} THEN {P._q(v)}" for k, v in UPOS.items())
+_aux = ", ".join(P._q(w) for w in AUX_WORDS)
+ORACLE["pos_tag_learned"] = f"""
+WITH l AS ({ORACLE["learn_lexicon"]}),
+c AS (WITH {P.tagged_ctes(P.sentences(P.conversations_corpus()))} SELECT ds_name, doc_id, pos, k, token, tag FROM tagged2),
+t AS (SELECT ds_name, doc_id, pos, k, c.token, coalesce(l.tag, c.tag) AS tag FROM c LEFT JOIN l ON l.token = lower(c.token))
+SELECT *, CASE WHEN lower(token) IN ({_aux}) THEN 'AUX' ELSE coalesce(CASE tag {_tag_upos} END, 'X') END AS upos FROM t"""
+
 for _key, _u, _col in (("extract_nouns", "NOUN", "nouns"), ("extract_verbs", "VERB", "verbs")):
     ORACLE[_key] = f"""WITH {ANN}
 SELECT ds_name, doc_id, pos,
@@ -322,6 +440,13 @@ c AS (SELECT ds_name, pattern, count(*) AS n FROM g2 GROUP BY ALL),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ds_name ORDER BY n DESC, pattern) AS r FROM c) WHERE r <= 5)
 SELECT DISTINCT g2.ds_name, g2.pattern, g2.text FROM g2 JOIN top USING (ds_name, pattern)"""
 
+ORACLE["patterns_json"] = f"""
+WITH t AS (SELECT DISTINCT ds_name, pattern, text FROM ({ORACLE["common_patterns"]})),
+p AS (SELECT ds_name, pattern, string_agg('        ' || to_json(text)::VARCHAR, ',' || chr(10) ORDER BY text) AS texts
+      FROM t GROUP BY ALL)
+SELECT ds_name, '{{' || chr(10) || string_agg('    ' || to_json(pattern)::VARCHAR || ': [' || chr(10) || texts || chr(10)
+  || '    ]', ',' || chr(10) ORDER BY pattern) || chr(10) || '}}' AS patterns_json FROM p GROUP BY ds_name"""
+
 ORACLE["merge_maps"] = """
 SELECT DISTINCT event_type, key, value FROM (
   SELECT event_type, unnest(map_keys(m)) AS key, unnest(map_values(m)) AS value
@@ -441,8 +566,10 @@ _report_parts = [
     _rep("unique_unigrams", ORACLE["unique_unigrams"], "n_unigrams", None, True),
     *[_rep(m, f"SELECT * FROM ts WHERE metric = '{m}'", "avg", "std")
       for m in ("rouge_l", "rouge_1", "bleu", "levenshtein", "jaccard")],
-    _rep("homogenization", ORACLE["homogenization_rougel"], "homogenization", "std"),
-    _rep("ngram_diversity", ORACLE["ngram_diversity"], "ngram_diversity", None),
+    _rep("homogenization", _homogenization("rouge_l"), "homogenization", "std"),
+    _rep("homogenization_minhash", HOMOGENIZATION_MINHASH, "homogenization", "std_error"),
+    _rep("homogenization_cosine", HOMOGENIZATION_COSINE, "homogenization", None),
+    _rep("ngram_diversity", NGRAM_DIVERSITY, "ngram_diversity", None),
 ]
-ORACLE["report"] = (f"WITH ts AS MATERIALIZED ({ORACLE['trial_summary']})\n"
+ORACLE["report"] = (f"WITH ts AS MATERIALIZED ({TRIAL_SUMMARY})\n"
                     + "\nUNION ALL\n".join(_report_parts))

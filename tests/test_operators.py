@@ -178,7 +178,7 @@ def test_subtrees_and_kernel_fixture(spark):
     pairs = spark.createDataFrame([("d", 0, 0, 0, 0, 1, 1, TREE, TREE),
                                    ("d", 0, 1, 0, 0, 2, 2, TREE, "(NP (DT the) (NN box))")],
                                   "ds string, trial int, sid int, qd long, qp int, rd long, rp int, qt string, rt string")
-    sc = trees.treekernel_pairs(pairs, ["ds", "trial", "sid"], ["ds", "qd", "qp"], ["ds", "rd", "rp"], "qt", "rt")
+    sc = trees.treekernel_pairs(pairs, "qt", "rt")
     got = {r.sid: r.score for r in sc.collect()}
     assert got[0] == pytest.approx(50.0) and got[1] == pytest.approx(25.0)
 

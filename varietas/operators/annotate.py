@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from varietas.functions.similarity import bind, bind_all
 from varietas.functions.text import tokenize
-from varietas.operators.ordering import BROADCAST_MAX_ROWS
+from varietas.operators.joins import lookup_join
 
 TEXT = "nl_instructions"
 
@@ -110,18 +110,23 @@ def pos_tag(S: DataFrame, text_col: str = TEXT, lexicon: DataFrame | None = None
     """Add ``tokens``, ``tags`` (Penn) and ``upos`` arrays to every row.
 
     With ``lexicon`` (``token, tag``; e.g. from :func:`learn_lexicon`), a
-    lexicon tag overrides the built-in one: tokens are exploded, joined to
-    the lexicon (broadcast only under a row-count check) and regrouped by
-    the row key ``(ds_name, doc_id, pos)``.
+    lexicon tag overrides the built-in one whatever the token's case: tokens
+    are exploded, joined to the lexicon (broadcast only if its measured bytes
+    allow it, else salted, as a frequent word is a hot key) and regrouped by
+    the row key ``(ds_name, doc_id, pos)``.  Entries that differ in case only
+    are one: their counts ``n`` (1 each without such a column) are added and
+    the most frequent tag stays, the smallest of equals.
     """
     out = S.withColumn("tokens", tokenize(text_col))
     out = out.withColumn("tags", tag_tokens(F.col("tokens")))
     if lexicon is not None:
         keys = ["ds_name", "doc_id", "pos"]
-        lex = lexicon.select(F.lower("token").alias("_lt"), F.col("tag").alias("_ltag"))
-        lex = F.broadcast(lex) if lex.count() <= BROADCAST_MAX_ROWS else lex
-        ex = out.select(*keys, F.posexplode(F.arrays_zip("tokens", "tags")).alias("_k", "_z"))
-        ex = ex.join(lex, F.lower(ex["_z.tokens"]) == lex["_lt"], "left")
+        seen = F.col("n") if "n" in lexicon.columns else F.lit(1)
+        lex = lexicon.groupBy(F.lower("token").alias("_lt"), "tag").agg(F.sum(seen).alias("n")) \
+            .groupBy("_lt").agg(F.min_by("tag", F.struct(-F.col("n"), "tag")).alias("_ltag"))
+        ex = out.select(*keys, F.posexplode(F.arrays_zip("tokens", "tags")).alias("_k", "_z")) \
+            .withColumn("_lt", F.lower("_z.tokens"))
+        ex = lookup_join(ex, lex, ["_lt"], "doc_id", "left")
         fixed = ex.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
             "_k", F.coalesce("_ltag", "_z.tags").alias("tag")))).alias("_kt"))
         out = out.drop("tags").join(

@@ -15,20 +15,20 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varietas.operators.joins import broadcast_if_small
 from varietas.session import checkpoint
 
-# Broadcast a side only when a count shows it is at most this many rows.
-BROADCAST_MAX_ROWS = 2_000_000
+def document_key(df: DataFrame, by: Sequence[str] = ()) -> list[str]:
+    """Columns that tell the documents of a group apart.  Ids are unique in
+    their dataset only, so the dataset belongs to the key where the groups do
+    not fix it."""
+    return [c for c in ("ds_name",) if c in df.columns and c not in by] + ["doc_id"]
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint behind a row-count check; otherwise a shuffle join.
-
-    The count is an action on a table that is small by construction
-    (aggregates, sampled keys); when it is larger than ``max_rows`` the
-    join stays a sort-merge join.
-    """
-    return F.broadcast(df) if df.count() <= max_rows else df
+def with_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with group columns: ``by``, or for an ungrouped run the one
+    constant ``_all``, to be dropped from the result."""
+    return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:

@@ -13,36 +13,30 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varietas.operators.ordering import prefix_sum
+from varietas.operators.ngrams import BUCKET, gram, inner_runs, token_runs
+from varietas.operators.joins import broadcast_if_small
+from varietas.operators.ordering import with_group
 from varietas.operators.sampling import sample_with_replacement
+from varietas.operators.stats import top_k_per_group
 
 DEFAULT_BY = ("ds_name",)
-ORDER = ("doc_id", "pos")
 
 
 def _by(by) -> list[str]:
     return list(DEFAULT_BY if by is None else by)
 
 
-def _grams(tokens: DataFrame, group: list[str], n: int, part: list[str]) -> DataFrame:
-    """(group, p, pattern, text) for every n-run starting at ``p``; windows
-    are partitioned by ``part`` (bounded groups)."""
-    w = Window.partitionBy(*part).orderBy("p")
-    leads = tokens.select(*group, *[c for c in part if c not in group], "p", "_own",
-                          *[F.lead("tag", i).over(w).alias(f"_t{i}") for i in range(1, n)],
-                          *[F.lead("token", i).over(w).alias(f"_w{i}") for i in range(1, n)],
-                          F.col("tag").alias("_t0"), F.col("token").alias("_w0"))
-    full = leads.filter(F.col("_own") & F.col(f"_t{n - 1}").isNotNull())
-    return full.select(*group, "p",
-                       F.concat_ws(" ", *[F.col(f"_t{i}") for i in range(n)]).alias("pattern"),
-                       F.concat_ws(" ", *[F.col(f"_w{i}") for i in range(n)]).alias("text"))
+def _text_counts(grams: DataFrame, group: list[str]) -> DataFrame:
+    """Rows per (group, pattern, text): each text of a pattern once."""
+    return grams.where(F.col("pattern").isNotNull()).groupBy(*group, "pattern", "text") \
+        .agg(F.count(F.lit(1)).alias("n"))
 
 
-def _top(grams: DataFrame, group: list[str], top_k: int) -> DataFrame:
-    counts = grams.groupBy(*group, "pattern").agg(F.count(F.lit(1)).alias("n"))
+def _ranked(patterns: DataFrame, group: list[str], top_k: int) -> DataFrame:
+    """The ``top_k`` most frequent patterns; ``patterns`` has one row per
+    distinct pattern of a group."""
     w = Window.partitionBy(*group).orderBy(F.col("n").desc(), F.col("pattern"))
-    # one row per distinct pattern of a sample: bounded by the sample size
-    return counts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_k)
+    return patterns.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_k).drop("_r")
 
 
 def common_patterns(T: DataFrame, n: int = 4, top_k: int = 5, n_samples: int = 10000,
@@ -54,54 +48,45 @@ def common_patterns(T: DataFrame, n: int = 4, top_k: int = 5, n_samples: int = 1
     all batches.  Returns distinct ``(by, pattern, text)``.
 
     ``T`` needs ``tokens`` and ``tags`` arrays (from ``annotate.pos_tag``).
-    Every window here is partitioned by (group, trial, batch), whose size
-    is bounded by the batch size, not by the corpus.
+    A sample is one array row per (group, trial, batch), bounded by the batch
+    size and not by the corpus.  Its n-grams are formed once: counted per
+    text, gathered with their texts per pattern, and the best patterns keep
+    the texts they already hold.
     """
-    keys = _by(by)
+    T, keys = with_group(T, _by(by))
     per_batch = n_samples // batches
     picks = sample_with_replacement(T, per_batch, trials, batches, seed, keys,
                                     payload=("tokens", "tags"))
-    grp = [*keys, "trial", "batch"]
+    group = [*keys, "trial", "batch"]
     if cross_boundary:
-        w = Window.partitionBy(*grp).orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-        picks = picks.withColumn("_off", F.coalesce(F.sum(F.size("tokens")).over(w), F.lit(0)))
-        part = grp
+        drawn = picks.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("sid", "tokens", "tags"))).alias("_s"))
+        rows = drawn.select(*group, F.flatten("_s.tokens").alias("token"), F.flatten("_s.tags").alias("tag"))
     else:
-        picks = picks.withColumn("_off", F.lit(0))
-        part = [*grp, "sid"]
-    toks = picks.select(*grp, "sid", "_off",
-                        F.posexplode(F.arrays_zip("tokens", "tags")).alias("_k", "_z"))
-    toks = toks.select(*grp, "sid", (F.col("_off") + F.col("_k")).alias("p"),
-                       F.col("_z.tokens").alias("token"), F.col("_z.tags").alias("tag"),
-                       F.lit(True).alias("_own"))
-    grams = _grams(toks, grp, n, part)
-    top = _top(grams, grp, top_k)
-    hits = grams.join(top.select(*grp, "pattern"), on=[*grp, "pattern"], how="left_semi")
-    return hits.select(*keys, "pattern", "text").distinct()
+        rows = picks.select(*group, F.col("tokens").alias("token"), F.col("tags").alias("tag"))
+    runs = inner_runs(rows, ["token", "tag"], group, n)
+    counts = _text_counts(runs.select(*group, gram("tag", n).alias("pattern"), gram("token", n).alias("text")), group)
+    patterns = counts.groupBy(*group, "pattern").agg(F.sum("n").alias("n"), F.collect_list("text").alias("_texts"))
+    return _ranked(patterns, group, top_k).select(*keys, "pattern", F.explode("_texts").alias("text")) \
+        .distinct().drop("_all")
 
 
 def common_patterns_full(T: DataFrame, n: int = 4, top_k: int = 5,
-                         by: Sequence[str] | None = None, bucket: int = 1 << 20) -> DataFrame:
+                         by: Sequence[str] | None = None, bucket: int = BUCKET) -> DataFrame:
     """The same over the whole concatenated corpus of each group.
 
-    Token positions come from the distributed prefix sum; n-gram windows
-    run per bucket of ``bucket`` positions (the first n-1 tokens of a bucket
-    are also copied to the previous one).
+    Runs inside a document come from its own row, runs across documents from
+    the documents' ends (``ngrams.token_runs``).  They are counted per text
+    first; the few best patterns are then looked up among those counts.
     """
-    keys = _by(by)
-    t = T.select(*keys, *ORDER, "tokens", "tags")
-    offs, _ = prefix_sum(t, F.size("tokens"), list(ORDER), keys, out_col="_off")
-    toks = offs.select(*keys, "_off", F.posexplode(F.arrays_zip("tokens", "tags")).alias("_k", "_z"))
-    toks = toks.select(*keys, (F.col("_off") + F.col("_k")).alias("p"),
-                       F.col("_z.tokens").alias("token"), F.col("_z.tags").alias("tag"))
-    b = (F.col("p") / bucket).cast("bigint")
-    own = toks.withColumn("_b", b).withColumn("_own", F.lit(True))
-    spill = (toks.filter((F.col("p") % bucket < n - 1) & (F.col("p") >= bucket))
-             .withColumn("_b", b - 1).withColumn("_own", F.lit(False)))
-    grams = _grams(own.unionByName(spill), keys, n, [*keys, "_b"])
-    top = _top(grams, keys, top_k)
-    hits = grams.join(top.select(*keys, "pattern"), on=[*keys, "pattern"], how="left_semi")
-    return hits.select(*keys, "pattern", "text").distinct()
+    T, keys = with_group(T, _by(by))
+    runs, _ = token_runs(T, {"token": F.col("tokens"), "tag": F.col("tags")}, n, keys, bucket)
+    counts = _text_counts(runs.select(*keys, gram("tag", n).alias("pattern"), gram("token", n).alias("text")), keys)
+    totals = counts.groupBy(*keys, "pattern").agg(F.sum("n").alias("n"))
+    top = top_k_per_group(totals, keys, [F.col("n").desc(), F.col("pattern")], top_k, bucket_col="pattern")
+    # groups x top_k rows: the many texts of a frequent pattern stay where they are
+    hits = counts.select(*keys, "pattern", "text").join(
+        broadcast_if_small(top.select(*keys, "pattern")), [*keys, "pattern"], "left_semi")
+    return hits.drop("_all")
 
 
 def merge_maps(df: DataFrame, map_col: str | Column, by: Sequence[str]) -> DataFrame:
@@ -124,10 +109,19 @@ def flatten_nested(c: Column, depth: int = 2) -> Column:
 
 
 def patterns_json(patterns: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
-    """One JSON object ``{pattern: [texts...]}`` per group, texts
-    sorted, for the report.  Input is the (bounded) output of
-    :func:`common_patterns`."""
+    """One JSON object ``{pattern: [texts...]}`` per group for the
+    report, one text a line, indented by four spaces; patterns and texts
+    sorted.  Input is the (bounded) output of :func:`common_patterns`."""
     keys = _by(by)
-    per = patterns.groupBy(*keys, "pattern").agg(F.array_sort(F.collect_set("text")).alias("texts"))
-    return per.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct("pattern", "texts"))))).alias("patterns_json"))
+
+    def quoted(c: Column) -> Column:
+        # the JSON writer's own escapes, without the brackets of the array
+        whole = F.to_json(F.array(c))
+        return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+    texts = F.array_join(F.transform(F.array_sort(F.collect_set("text")), quoted), ",\n        ")
+    per = patterns.groupBy(*keys, "pattern").agg(texts.alias("_texts"))
+    entry = F.concat(F.lit("    "), quoted(F.col("pattern")), F.lit(": [\n        "), "_texts", F.lit("\n    ]"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("pattern", entry.alias("entry")))), lambda x: x["entry"])
+    return per.groupBy(*keys).agg(
+        F.concat(F.lit("{\n"), F.array_join(entries, ",\n"), F.lit("\n}")).alias("patterns_json"))

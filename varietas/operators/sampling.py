@@ -2,9 +2,10 @@
 
 A draw is ``md5(seed|group|trial|sid|side)`` read as a 48-bit integer modulo
 the group size ``N``: the same seed gives the same pairs for every metric,
-and any SQL engine with ``md5`` reproduces them.  Only the draws (bounded
-by groups x trials x samples) are broadcast; the corpus is streamed once
-through a hash join and is never collected.
+and any SQL engine with ``md5`` reproduces them.  Only keys are broadcast, and
+only after their bytes are measured; the corpus is streamed through a hash
+join that keeps the drawn rows, whose payload then meets the draws in a
+shuffle join on the row key.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varietas.operators.ordering import BROADCAST_MAX_ROWS, dense_index, prefix_sum
+from varietas.operators.joins import BROADCAST_MAX_BYTES, measured_bytes
+from varietas.operators.ordering import dense_index, document_key, prefix_sum
 from varietas.session import checkpoint
 
 DEFAULT_BY = ("ds_name",)
@@ -25,6 +27,13 @@ def _by(by) -> list[str]:
     return list(DEFAULT_BY if by is None else by)
 
 
+def row_order(S: DataFrame, by: Sequence[str], order: Sequence[str]) -> list[str]:
+    """Columns that order and identify the rows of a group.  By default the
+    document key comes first, which holds the dataset in an ungrouped run:
+    two datasets may use the same ids."""
+    return [*document_key(S, by), "pos"] if tuple(order) == ORDER else list(order)
+
+
 def draw_hash(*parts: Column) -> Column:
     """48-bit non-negative integer from md5 of the '|'-joined parts."""
     tag = F.concat_ws("|", *[p.cast("string") for p in parts])
@@ -84,33 +93,37 @@ def index_corpus(S: DataFrame, by: Sequence[str] | None = None,
     range-partitioned dense index runs over the key rows.
     """
     keys = _by(by)
-    if dense_pos and tuple(order) == ORDER:
+    order = row_order(S, keys, order)
+    if dense_pos and order[-2:] == list(ORDER):
         # one small row per document, written once: the range partitioner's
         # bound sampling and shuffle then read this, not the corpus
-        docs = checkpoint(S.groupBy(*keys, "doc_id").agg(F.count(F.lit(1)).alias("_n")))
-        offs, totals = prefix_sum(docs, "_n", ["doc_id"], keys, out_col="_off")
-        indexed = offs.select(*keys, "doc_id", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+        doc = order[:-1]
+        docs = checkpoint(S.groupBy(*keys, *doc).agg(F.count(F.lit(1)).alias("_n")))
+        offs, totals = prefix_sum(docs, "_n", doc, keys, out_col="_off")
+        indexed = offs.select(*keys, *doc, F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
                               .alias("pos"), "_off") \
-            .select(*keys, "doc_id", F.col("pos").cast("int").alias("pos"),
+            .select(*keys, *doc, F.col("pos").cast("int").alias("pos"),
                     (F.col("_off") + F.col("pos")).alias("row_idx"))
         return indexed, totals.withColumnRenamed("total", "N")
-    return dense_index(S.select(*keys, *order), list(order), keys)
+    return dense_index(S.select(*keys, *order), order, keys)
 
 
 def attach(picks: DataFrame, S: DataFrame, indexed: DataFrame, by: Sequence[str],
            sides: Sequence[str], payload: Sequence[str], order: Sequence[str] = ORDER) -> DataFrame:
     """Replace each ``<side>_idx`` by that row's payload columns.
 
-    The picks are broadcast (size-checked) against the indexed keys, then
-    the distinct picked keys are broadcast against the corpus to fetch the
-    payload: the corpus is streamed, never shuffled.
+    Draws meet the index by key, and the distinct drawn keys filter the
+    corpus as it streams by; these keys are broadcast if their measured bytes
+    allow it.  The payload is never broadcast: the drawn rows are dealt once
+    by row key, and each side of the draws is merged with them there.
     """
     keys = list(by)
-    small = picks.count() <= BROADCAST_MAX_ROWS
+    order = row_order(S, keys, order)
+    small = measured_bytes(picks) * (1 + len(order)) <= BROADCAST_MAX_BYTES
 
     def hint(df):
         # every join below keeps the row count of ``picks`` (one index row
-        # per pick), so the single size check covers them all
+        # per pick) and adds key columns only, so one measure covers them all
         return F.broadcast(df) if small else df
 
     out = picks
@@ -118,15 +131,19 @@ def attach(picks: DataFrame, S: DataFrame, indexed: DataFrame, by: Sequence[str]
         ix = indexed.select(*keys, F.col("row_idx").alias(f"{side}_idx"),
                             *[F.col(o).alias(f"{side}_{o}") for o in order])
         out = ix.join(hint(out), on=[*keys, f"{side}_idx"])
+    if not payload:
+        return out
     need = None
     for side in sides:
         part = out.select(*keys, *[F.col(f"{side}_{o}").alias(o) for o in order])
         need = part if need is None else need.unionByName(part)
-    rows = S.select(*keys, *order, *payload).join(hint(need.distinct()), on=[*keys, *order])
+    n_parts = int(S.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = S.select(*keys, *order, *payload).join(hint(need.distinct()), on=[*keys, *order], how="left_semi") \
+        .repartition(n_parts, *keys, *order)
     for side in sides:
         rs = rows.select(*keys, *[F.col(o).alias(f"{side}_{o}") for o in order],
                          *[F.col(p).alias(f"{side}_{p}") for p in payload])
-        out = hint(out).join(hint(rs), on=[*keys, *[f"{side}_{o}" for o in order]])
+        out = out.join(rs.hint("merge"), on=[*keys, *[f"{side}_{o}" for o in order]])
     return out
 
 
@@ -156,10 +173,19 @@ def sample_with_replacement(S: DataFrame, n_samples: int, trials: int = 3, batch
     return out.select(*[F.col(c).alias(ren.get(c, c)) for c in out.columns])
 
 
-def shuffle_rows(S: DataFrame, seed: int = 0, key_cols: Sequence[str] = ("ds_name", "doc_id", "pos")) -> DataFrame:
-    """A seeded random order (sort key ``md5(seed|key)``)."""
-    return S.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed)),
-                                                           *[F.col(c).cast("string") for c in key_cols])))
+def shuffle_rows(S: DataFrame, seed: int = 0, by: Sequence[str] | None = None) -> DataFrame:
+    """The rows of each group in a seeded random order.
+
+    The sort key is ``md5(seed|row key)``; ``position`` is the row's place in
+    the group, 0 to N - 1.  The rows are range-partitioned on the key and
+    written sorted, partition after partition, so reading the result gives
+    the order and a restarted task gives the same rows."""
+    keys = _by(by)
+    order = row_order(S, keys, ORDER)
+    drawn = S.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed)), *[
+        F.col(c).cast("string") for c in (*keys, *order)])))
+    shuffled, _ = dense_index(drawn, ["shuffle_key", *order], keys, out_col="position")
+    return shuffled
 
 
 def trial_means(scored: DataFrame, score_col: str = "score", by: Sequence[str] | None = None) -> DataFrame:

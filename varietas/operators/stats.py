@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varietas.functions.text import tokenize
-from varietas.operators.ordering import broadcast_if_small, dense_index
+from varietas.operators.joins import broadcast_if_small
+from varietas.operators.ordering import dense_index
 
 TEXT = "nl_instructions"
 DEFAULT_BY = ("ds_name",)
@@ -155,7 +156,7 @@ def word_tokens(df: DataFrame, col: str, by: Sequence[str] | None = None) -> Dat
                         & ~F.lower("word").isin(*STOPWORDS))
 
 
-def _merged_plurals(words: DataFrame, keys: list[str]) -> DataFrame:
+def merged_plurals(words: DataFrame, keys: list[str]) -> DataFrame:
     """Counts per word with ``xs`` folded into ``x`` when ``x`` is also a
     word (not for ``ss``).  Both forms are counted side by side under their
     stem, so one aggregation does it; a stem never ends in ``s`` itself."""
@@ -174,7 +175,7 @@ def word_frequency(df: DataFrame, col: str = TEXT, by: Sequence[str] | None = No
     with ``rel = n / max(n)`` (the word-cloud scaling)."""
     keys = _by(by)
     words = word_tokens(df, col, keys).select(*keys, F.lower("word").alias("key"))
-    counts = (_merged_plurals(words, keys) if normalize_plurals else
+    counts = (merged_plurals(words, keys) if normalize_plurals else
               words.groupBy(*keys, "key").agg(F.count(F.lit(1)).alias("n")))
     top = top_k_per_group(counts, keys, [F.col("n").desc(), F.col("key")], max_words,
                           bucket_col="key")
@@ -183,6 +184,23 @@ def word_frequency(df: DataFrame, col: str = TEXT, by: Sequence[str] | None = No
                       (F.col("n") / F.max("n").over(w)).alias("rel"))
 
 
+def words_of(c: Column) -> Column:
+    """Pattern words of a text in order, lower case, trailing 's removed,
+    all-digit words dropped; stop words are kept."""
+    found = F.transform(F.regexp_extract_all(c, F.lit("(" + WORD_PATTERN + ")"), 1),
+                        lambda w: F.regexp_replace(F.lower(w), "'s$", ""))
+    return F.filter(found, lambda w: ~w.rlike(r"^\p{Nd}+$") & (w != ""))
+
+
+def adjacent_words(words: Column) -> Column:
+    """Adjacent pairs of an array of words, joined by a blank; a pair that
+    holds a stop word is dropped."""
+    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)),
+                       lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    kept = F.filter(pairs, lambda p: ~p["a"].isin(*STOPWORDS) & ~p["b"].isin(*STOPWORDS))
+    return F.transform(kept, lambda p: F.concat_ws(" ", p["a"], p["b"]))
+
+
 def bigram_frequency(df: DataFrame, col: str = TEXT, by: Sequence[str] | None = None,
                      top: int = 100) -> DataFrame:
     """Most frequent adjacent word pairs, counted inside each text,
@@ -190,15 +208,8 @@ def bigram_frequency(df: DataFrame, col: str = TEXT, by: Sequence[str] | None =
     word is dropped, so no pair bridges a removed word.  (Pattern words,
     trailing 's removed, all-digit words dropped before pairing.)"""
     keys = _by(by)
-    c = F.col(col)
-    found = F.transform(F.regexp_extract_all(c, F.lit("(" + WORD_PATTERN + ")"), 1),
-                        lambda w: F.regexp_replace(F.lower(w), "'s$", ""))
-    lw = F.filter(found, lambda w: ~w.rlike(r"^\p{Nd}+$") & (w != ""))
-    pairs = F.zip_with(F.slice(lw, 1, F.size(lw) - 1), F.slice(lw, 2, F.size(lw)),
-                       lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    kept = F.filter(pairs, lambda p: ~p["a"].isin(*STOPWORDS) & ~p["b"].isin(*STOPWORDS))
-    grams = df.where(F.size(lw) >= 2).select(
-        *keys, F.explode(F.transform(kept, lambda p: F.concat_ws(" ", p["a"], p["b"]))).alias("bigram"))
+    lw = words_of(F.col(col))
+    grams = df.where(F.size(lw) >= 2).select(*keys, F.explode(adjacent_words(lw)).alias("bigram"))
     counts = grams.groupBy(*keys, "bigram").agg(F.count(F.lit(1)).alias("n"))
     return top_k_per_group(counts, keys, [F.col("n").desc(), F.col("bigram")], top,
                            bucket_col="bigram")

@@ -1,87 +1,107 @@
 """Bracketed trees: subtree decomposition and the subtree-overlap kernel.
 
-A tree string ``(S (NP (DT the) (NN box)))`` is cut into tokens
-``( S ( NP ...``.  A running depth (window per tree) gives every bracket a
-level; on one level opens and closes alternate, so the partner of an open
-bracket is the next bracket of its level (``lead`` per tree and level) —
-no self-join.  Each node's subtree is the token slice between the two.
+A tree string ``(S (NP (DT the) (NN box)))`` is read once from left to
+right with a stack of open nodes.  When a node closes, its hash follows from
+its words and its children's hashes, so equal subtrees have equal 64-bit
+hashes wherever they stand, and a tree becomes one array of numbers.  The
+kernel of a pair is the clipped overlap of two such arrays.  All of this is
+work on one row: nothing is shuffled by tree.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from varietas.session import checkpoint
-
-TREE_TOKEN = r"(\(|\)|[^\s()]+)"
+from pyspark.sql import types as T
+
+TREE_TOKEN = re.compile(r"[()]|[^\s()]+")
+# Distinct trees whose hashes a task keeps at hand.
+KEPT_TREES = 10_000
+
+
+def subtree_spans(tokens: Sequence[str]) -> list[tuple[int, int]]:
+    """``(start, stop)`` of each closed node in the tokens of a tree, in
+    order of their ends; brackets without a partner are no nodes."""
+    open_at, spans = [], []
+    for i, token in enumerate(tokens):
+        if token == "(":
+            open_at.append(i)
+        elif token == ")" and open_at:
+            spans.append((open_at.pop(), i + 1))
+    return spans
+
+
+def subtree_hashes(tree: str) -> list[int]:
+    """64-bit hashes of all subtrees, bottom-up, in one pass."""
+    stack, out = [], []
+    for token in TREE_TOKEN.findall(tree):
+        if token == "(":
+            stack.append(hashlib.blake2b(digest_size=8))
+        elif token == ")":
+            if stack:
+                digest = stack.pop().digest()
+                out.append(int.from_bytes(digest, "big", signed=True))
+                if stack:
+                    stack[-1].update(b"(" + digest)
+        elif stack:
+            # a word ends in a blank and holds none, so parts cannot run together
+            stack[-1].update(b"w" + token.encode() + b" ")
+    return out
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for tree in batch.column("_tree").to_pylist():
+            tokens = TREE_TOKEN.findall(tree or "")
+            out.append([" ".join(tokens[a:b]) for a, b in subtree_spans(tokens)])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.string()))],
+                                         [*batch.schema.names[:-1], "_subtrees"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str | None, Counter] = {}
+
+    def bag(tree: str | None) -> Counter:
+        if tree not in known:
+            if len(known) >= KEPT_TREES:
+                known.clear()
+            known[tree] = Counter(subtree_hashes(tree or ""))
+        return known[tree]
+
+    for batch in batches:
+        out = []
+        for a, b in zip(batch.column("_qt").to_pylist(), batch.column("_rt").to_pylist()):
+            x, y = bag(a), bag(b)
+            total = x.total() + y.total()
+            out.append(100.0 * (x & y).total() / total if total else 0.0)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.float64())],
+                                         [*batch.schema.names[:-2], "score"])
 
 
 def subtrees(trees: DataFrame, tree_col: str, keys: Sequence[str]) -> DataFrame:
     """One row per internal node: ``keys, subtree`` (the node's full
     subtree as a canonical space-separated string; leaves excluded)."""
-    keys = list(keys)
-    arr = trees.select(*keys, F.regexp_extract_all(tree_col, F.lit(TREE_TOKEN), 1).alias("_arr"))
-    toks = arr.select(*keys, F.posexplode("_arr").alias("k", "tok")) \
-        .filter(F.col("tok").isin("(", ")"))
-    w = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("tok") == "(", 1).otherwise(-1)
-    br = toks.withColumn("dep", F.sum(step).over(w))
-    br = br.withColumn("lv", F.when(F.col("tok") == "(", F.col("dep")).otherwise(F.col("dep") + 1))
-    w2 = Window.partitionBy(*keys, "lv").orderBy("k")
-    spans = br.withColumn("e", F.lead("k").over(w2)).filter(F.col("tok") == "(")
-    # regroup the spans per tree (bounded by the tree) and slice once per
-    # tree row: a 1:1 join, so the token array is never copied per node
-    per_tree = spans.groupBy(*keys).agg(F.collect_list(F.struct("k", "e")).alias("_sp"))
-    cut = per_tree.join(arr, on=keys).select(*keys, F.explode(F.transform(
-        "_sp", lambda s: F.array_join(F.slice("_arr", s["k"] + 1, s["e"] - s["k"] + 1), " ")))
-        .alias("subtree"))
-    return cut
-
-
-def subtree_bags(trees: DataFrame, tree_col: str, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Subtree multiset per tree: ``(keys, subtree, cnt)`` and ``(keys, total)``."""
-    st = subtrees(trees, tree_col, keys)
-    bags = st.groupBy(*keys, "subtree").agg(F.count(F.lit(1)).alias("cnt"))
-    totals = bags.groupBy(*keys).agg(F.sum("cnt").alias("total"))
-    return bags, totals
-
-
-def treekernel_pairs(pairs: DataFrame, pair_key: Sequence[str], q_keys: Sequence[str],
-                     r_keys: Sequence[str], q_tree: str, r_tree: str) -> DataFrame:
-    """``100 * |bag(q) ∩ bag(r)| / (|bag(q)| + |bag(r)|)`` per pair.
-
-    A tree compared with itself scores 50.  Only the trees of the pairs are
-    decomposed (each once); the bag intersection is an equi-join on
-    (pair, subtree).
-    """
-    pk = list(pair_key)
-    # the pair table is referenced five times below; it is bounded (groups x
-    # trials x samples), so materialise it once instead of re-running the
-    # draw and the tree construction per reference
-    pairs = checkpoint(pairs)
-    tk = ["_tds", "_tdoc", "_tpos"]
-    q = pairs.select(*[F.col(c).alias(t) for c, t in zip(q_keys, tk)], F.col(q_tree).alias("_tree"))
-    r = pairs.select(*[F.col(c).alias(t) for c, t in zip(r_keys, tk)], F.col(r_tree).alias("_tree"))
-    trees = q.unionByName(r).distinct()
-    bags, totals = subtree_bags(trees, "_tree", tk)
-
-    def side(keys_, tag):
-        sel = pairs.select(*pk, *[F.col(c).alias(t) for c, t in zip(keys_, tk)])
-        b = sel.join(bags, on=tk).select(*pk, "subtree", F.col("cnt").alias(f"_n{tag}"))
-        t = sel.join(totals, on=tk, how="left").select(*pk, F.coalesce("total", F.lit(0)).alias(f"_t{tag}"))
-        return b, t
-
-    qb, qt = side(q_keys, "q")
-    rb, rt = side(r_keys, "r")
-    common = qb.join(rb, on=[*pk, "subtree"]).groupBy(*pk).agg(
-        F.sum(F.least("_nq", "_nr")).alias("_common"))
-    out = pairs.join(qt, on=pk).join(rt, on=pk).join(common, on=pk, how="left")
-    total = F.col("_tq") + F.col("_tr")
-    return out.withColumn("score", F.when(total > 0, 100.0 * F.coalesce("_common", F.lit(0)) / total)
-                          .otherwise(F.lit(0.0))).drop("_tq", "_tr", "_common")
+    rows = trees.select(*keys, F.col(tree_col).alias("_tree"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("_subtrees", T.ArrayType(T.StringType()))])
+    return rows.mapInArrow(_cut, schema).select(*keys, F.explode("_subtrees").alias("subtree"))
+
+
+def treekernel_pairs(pairs: DataFrame, q_tree: str, r_tree: str) -> DataFrame:
+    """``100 * |bag(q) ∩ bag(r)| / (|bag(q)| + |bag(r)|)`` per pair, as
+    ``score`` in place of the two trees.  A tree compared with itself scores
+    50; a null tree has no subtrees, and two trees without any score 0."""
+    rest = [c for c in pairs.columns if c not in (q_tree, r_tree)]
+    rows = pairs.select(*rest, F.col(q_tree).alias("_qt"), F.col(r_tree).alias("_rt"))
+    schema = T.StructType([*rows.schema.fields[:-2], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_compare, schema)
 
 
 def treekernel_summary(pairs_scored: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varietas.functions.text import clean_text, split_sentences, tokenize
-from varietas.operators import clean, pairwise, sampling, stats
+from varietas.operators import clean, collocations, pairwise, sampling, stats
 from varietas.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,6 +142,19 @@ def q_bigram_frequency(spark, sf_dir):
     return stats.bigram_frequency(sentences(spark, sf_dir), top=100)
 
 
+@query("collocations")
+def q_collocations(spark, sf_dir):
+    out = collocations.collocations(sentences(spark, sf_dir), max_words=100)
+    return out.select("ds_name", "term", "n", "rank", r6("rel"), F.round("score", 3).alias("score"))
+
+
+@query("collocations_all")
+def q_collocations_all(spark, sf_dir):
+    """Ungrouped: one word list over documents and conversations."""
+    out = collocations.collocations(multi_sentences(spark, sf_dir), by=[], max_words=1000)
+    return out.select("term", "n", "rank", r6("rel"), F.round("score", 3).alias("score"))
+
+
 # ---------------------------------------------------------------- R: sampling
 def _pairs(spark, sf_dir, distinct=False):
     return sampling.sample_pairs(sentences(spark, sf_dir), N_SAMPLES, TRIALS, SEED,
@@ -157,6 +170,14 @@ def q_sample_pairs(spark, sf_dir):
                                         "q_nl_instructions", "r_nl_instructions")
 
 
+@query("sample_pairs_all")
+def q_sample_pairs_all(spark, sf_dir):
+    """Ungrouped pairs over two datasets that use the same ids."""
+    out = sampling.sample_pairs(multi_sentences(spark, sf_dir), N_SAMPLES, TRIALS, SEED, by=[])
+    return out.select("trial", "sid", *[f"{s}_{c}" for s in ("q", "r") for c in (
+        "ds_name", "doc_id", "pos", "idx", "nl_instructions")])
+
+
 @query("shuffle")
 def q_shuffle(spark, sf_dir):
     return sampling.shuffle_rows(sentences(spark, sf_dir), SEED)
@@ -211,6 +232,28 @@ def q_ngram_diversity(spark, sf_dir):
     return out.select("ds_name", r6("ngram_diversity"), "n_tokens")
 
 
+@query("ngram_diversity_all")
+def q_ngram_diversity_all(spark, sf_dir):
+    out = diversity.ngram_diversity(multi_sentences(spark, sf_dir), n=4, by=[])
+    return out.select(r6("ngram_diversity"), "n_tokens")
+
+
+@query("compression_blocks")
+def q_compression_blocks(spark, sf_dir):
+    return diversity.compression_blocks(sentences(spark, sf_dir), block_bytes=1 << 14)
+
+
+@query("compression_blocks_all")
+def q_compression_blocks_all(spark, sf_dir):
+    return diversity.compression_blocks(multi_sentences(spark, sf_dir), by=[])
+
+
+@query("compression_ratio_all")
+def q_compression_ratio_all(spark, sf_dir):
+    out = diversity.compression_ratio(multi_sentences(spark, sf_dir), by=[])
+    return out.select("raw_bytes", "gz_bytes", "n_blocks", r6("compression_ratio"))
+
+
 @query("compression_ratio")
 def q_compression_ratio(spark, sf_dir):
     out = diversity.compression_ratio(sentences(spark, sf_dir))
@@ -239,6 +282,12 @@ QUERIES["homogenization_rougel_estimate"] = _homogenization_estimate("rouge_l")
 QUERIES["homogenization_jaccard_estimate"] = _homogenization_estimate("jaccard")
 
 
+@query("homogenization_minhash")
+def q_homogenization_minhash(spark, sf_dir):
+    out = diversity.homogenization_minhash(sentences(spark, sf_dir))
+    return out.select("ds_name", "n_rows", "n_pairs", r6("homogenization"), r6("std_error"))
+
+
 @query("homogenization_cosine")
 def q_homogenization_cosine(spark, sf_dir):
     out = diversity.homogenization_cosine(sentences(spark, sf_dir))
@@ -260,6 +309,14 @@ def q_pos_tag(spark, sf_dir):
     return annotate.tagged_tokens(annotated(spark, sf_dir))
 
 
+@query("pos_tag_learned")
+def q_pos_tag_learned(spark, sf_dir):
+    """Conversations tagged with the lexicon that documents teach."""
+    lexicon = annotate.learn_lexicon(annotate.tagged_tokens(annotated(spark, sf_dir)))
+    S = clean.clean_and_standardize(corpus.conversations_corpus(spark, sf_dir))
+    return annotate.tagged_tokens(annotate.pos_tag(S, lexicon=lexicon))
+
+
 @query("learn_lexicon")
 def q_learn_lexicon(spark, sf_dir):
     return annotate.learn_lexicon(annotate.tagged_tokens(annotated(spark, sf_dir)))
@@ -415,11 +472,9 @@ def _tree_pairs(spark, sf_dir):
     # the draws are the same (same keys, same order) as drawing from the
     # tree table, but tagging/bracketing runs on the sample, not the corpus
     pairs = sampling.sample_pairs(sentences(spark, sf_dir), N_SAMPLES, TRIALS, SEED)
-    pairs = pairs.select("*", *[annotate.shallow_tree_of_text(F.col(f"{s}_nl_instructions"))
-                                .alias(f"{s}_{TREE}") for s in ("q", "r")])
-    return trees.treekernel_pairs(pairs, ["ds_name", "trial", "sid"],
-                                  ["ds_name", "q_doc_id", "q_pos"], ["ds_name", "r_doc_id", "r_pos"],
-                                  f"q_{TREE}", f"r_{TREE}")
+    pairs = pairs.select(*PAIR_KEYS, *[annotate.shallow_tree_of_text(F.col(f"{s}_nl_instructions"))
+                                       .alias(f"{s}_{TREE}") for s in ("q", "r")])
+    return trees.treekernel_pairs(pairs, f"q_{TREE}", f"r_{TREE}")
 
 
 @query("treekernel_pairs")
@@ -493,4 +548,5 @@ def q_report(spark, sf_dir):
 @query("report_full")
 def q_report_full(spark, sf_dir):
     return report_job.build_report(sentences(spark, sf_dir), report_job.ALL_METRICS,
-                                   n_samples=N_SAMPLES, trials=TRIALS, seed=SEED)
+                                   n_samples=N_SAMPLES, trials=TRIALS, seed=SEED,
+                                   scored_vectors=_vector_pairs(spark, sf_dir))

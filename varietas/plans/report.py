@@ -30,16 +30,20 @@ LINES = {
     "treekernel": "Average tree kernel pairwise distances: {v}. Stddev: {s}.",
     "jaccard": "Average Jaccard pairwise distances: {v}. Stddev: {s}.",
     "compression_ratio": "Compression Ratio: {v}. ",
-    "homogenization": "Homogenization Score for rougel: {v}. ",
+    "homogenization": "Homogenization Score for rougel, estimated from drawn pairs: {v}. Stddev: {s}.",
+    "homogenization_minhash": "Homogenization Score for jaccard, over all pairs: {v}. Standard error: {s}.",
     "ngram_diversity": "Ngram Diversity Score for 4-gram: {v}. ",
     "common_patterns": "Common Parses:\n{v}",
     "homogenization_cosine": "Homogenization (mean cosine over all pairs): {v}. ",
 }
 ORDER = {m: i for i, m in enumerate(LINES)}
 PAIR_METRICS = ("rouge_l", "rouge_1", "bleu", "levenshtein", "jaccard")
-ALL_METRICS = tuple(m for m in LINES if m != "bertscore")
+ALL_METRICS = tuple(LINES)
+# bertscore needs a table of vectors besides the texts
+TEXT_METRICS = tuple(m for m in ALL_METRICS if m != "bertscore")
 SQL_METRICS = ("unique_commands", "unique_unigrams", "rouge_l", "rouge_1", "bleu",
-               "levenshtein", "jaccard", "homogenization", "ngram_diversity")
+               "levenshtein", "jaccard", "homogenization", "homogenization_minhash",
+               "homogenization_cosine", "ngram_diversity")
 
 
 def fmt4(c: Column) -> Column:
@@ -65,7 +69,7 @@ def _rows(df: DataFrame, keys: list[str], metric: str, value: str, std: str | No
                      F.round(v, 6).alias("value"), F.round(s, 6).alias("std"), line.alias("line"))
 
 
-def build_report(S: DataFrame, metrics: Sequence[str] = ALL_METRICS,
+def build_report(S: DataFrame, metrics: Sequence[str] = TEXT_METRICS,
                  by: Sequence[str] = ("ds_name",), n_samples: int = 1000, trials: int = 3,
                  seed: int = 0, materialize: bool = True,
                  scored_vectors: DataFrame | None = None) -> DataFrame | None:
@@ -110,11 +114,9 @@ def build_report(S: DataFrame, metrics: Sequence[str] = ALL_METRICS,
     if "treekernel" in metrics:
         # parse only the drawn sentences (same draws as over a tree table)
         pairs = sampling.sample_pairs(S, n_samples, trials, seed, keys, index=idx)
-        pairs = pairs.select("*", *[annotate.shallow_tree_of_text(F.col(f"{s}_{TEXT}"))
-                                    .alias(f"{s}_{TREE}") for s in ("q", "r")])
-        scored = trees.treekernel_pairs(pairs, [*keys, "trial", "sid"],
-                                        [*keys, "q_doc_id", "q_pos"], [*keys, "r_doc_id", "r_pos"],
-                                        f"q_{TREE}", f"r_{TREE}")
+        pairs = pairs.select(*keys, "trial", *[annotate.shallow_tree_of_text(F.col(f"{s}_{TEXT}"))
+                                               .alias(f"{s}_{TREE}") for s in ("q", "r")])
+        scored = trees.treekernel_pairs(pairs, f"q_{TREE}", f"r_{TREE}")
         parts.append(_rows(trees.treekernel_summary(scored, keys), keys, "treekernel", "avg", "std"))
     if "compression_ratio" in metrics:
         parts.append(_rows(diversity.compression_ratio(S, keys), keys, "compression_ratio",
@@ -122,6 +124,9 @@ def build_report(S: DataFrame, metrics: Sequence[str] = ALL_METRICS,
     if "homogenization" in metrics:
         parts.append(_rows(diversity.homogenization(S, "rouge_l", n_samples, trials, seed, keys, idx),
                            keys, "homogenization", "homogenization", "std"))
+    if "homogenization_minhash" in metrics:
+        parts.append(_rows(diversity.homogenization_minhash(S, keys), keys, "homogenization_minhash",
+                           "homogenization", "std_error"))
     if "homogenization_cosine" in metrics:
         parts.append(_rows(diversity.homogenization_cosine(S, keys), keys, "homogenization_cosine",
                            "homogenization", None))
