@@ -146,3 +146,11 @@ def test_blocks_decode_from_every_checkpoint(n, lanes):
 def test_files_of_an_empty_table(spark, documents, tmp_path):
     token_files.write_token_files(documents([]), str(tmp_path / "none"))
     assert token_files.read_token_files(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_ids_beyond_16_bits_are_refused(spark, documents, tmp_path):
+    with pytest.raises(ValueError, match="ids up to 70000"):
+        token_files.write_token_files(documents([(1, "some words")]), str(tmp_path / "wide"), last=70000)
+    token_files.write_token_files(documents([(None, "some words"), (4, "more"), (None, "")]), str(tmp_path / "null"))
+    out = token_files.read_token_files(spark, str(tmp_path / "null")).orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == [None, None, 4]

@@ -36,6 +36,8 @@ from varietas.llm.common import (chunks, shared_folder, ship_by_value, small_bat
 from varietas.llm.tokens import encoder, tokenizer_path
 
 SCALE, BLOCK, LANES, CHECK = 20, 1 << 18, 1024, 128
+# Ids are kept in 16 bits between the passes; a larger vocabulary is refused.
+IDS = 1 << 16
 LOW, WORD = np.uint64(1 << 31), np.uint64(32)
 TOKENS = "key bigint, n_tokens int, ids binary"
 BLOCKS = ("file int, block int, n_tokens bigint, lanes int, keys array<bigint>, "
@@ -119,24 +121,32 @@ class Coder:
         return out.reshape(-1)[:n - first * check * lanes]
 
 
+def largest_id(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab().values())
+
+
 def tokenized(path: str, last: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         for batch, texts in chunks(batches, "text"):
             ids, counts = encode(texts, last)
-            data, at = ids.astype("<u2").tobytes(), 2 * starts_of(counts)
+            # one buffer for all documents, cut by offsets
+            offsets = pa.py_buffer((2 * starts_of(counts)).astype(np.int32))
             yield pa.RecordBatch.from_pydict({
                 "key": batch.column("key"), "n_tokens": pa.array(counts, pa.int32()),
-                "ids": pa.array([data[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary())})
+                "ids": pa.Array.from_buffers(pa.binary(), len(counts), [
+                    None, offsets, pa.py_buffer(ids.astype("<u2"))])})
 
     return run
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number of each id in a task's rows."""
-    total = np.zeros(1 << 16, np.int64)
+    total = np.zeros(IDS, np.int64)
     for _, rows in chunks(batches, "ids"):
-        total += np.bincount(np.frombuffer(b"".join(rows), "<u2"), minlength=1 << 16)
+        total += np.bincount(np.frombuffer(b"".join(rows), "<u2"), minlength=IDS)
     found = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"id": pa.array(found, pa.int32()),
                                       "n": pa.array(total[found], pa.int64())})
@@ -206,6 +216,9 @@ def write_token_files(docs: DataFrame, folder: str, *, key: str = "doc_id", text
     order of ``key``."""
     spark = docs.sparkSession
     small_batches(spark)
+    largest = max(last, largest_id(tokenizer or tokenizer_path()))
+    if largest >= IDS:
+        raise ValueError(f"ids up to {largest}; the files hold ids below {IDS}")
     rows = docs.select(F.col(key).cast("bigint").alias("key"),
                        F.col(text).cast("binary").alias("text"))
     ids_path = f"{folder}/ids"
@@ -213,8 +226,8 @@ def write_token_files(docs: DataFrame, folder: str, *, key: str = "doc_id", text
         .write.parquet(ids_path)
     ids = spark.read.parquet(ids_path)
     counts = ids.select("ids").mapInArrow(counted, "id int, n bigint") \
-        .groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most 2^16 ids
-    total = np.zeros(1 << 16, np.int64)
+        .groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most IDS rows
+    total = np.zeros(IDS, np.int64)
     for r in counts:
         total[r.id] = r.n
     freq = scaled(total)
@@ -230,7 +243,7 @@ def write_token_files(docs: DataFrame, folder: str, *, key: str = "doc_id", text
 def read_token_files(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     """Per document: ``key``, ``start`` (ids of all documents before it),
     ``n_tokens`` and ``ids_crc32``, decoded block by block in parallel."""
-    freq = np.zeros(1 << 16, np.int64)
+    freq = np.zeros(IDS, np.int64)
     for r in spark.read.schema("id int, frequency int").parquet(f"{folder}/table").collect():
         freq[r.id] = r.frequency
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")

@@ -104,11 +104,14 @@ class ChunkEncoder:
             self.forget()
         lists = self.split(texts)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.seen]
+        # through numpy: a tenth of the time of Arrow's own list of scalars
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = list(map(self.seen.get, words))
+        new = [w for w, k in zip(words, numbers) if k is None] if None in numbers else []
         if new:
             self.learn(new)
-        known = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+            numbers = map(self.seen.__getitem__, words)
+        known = np.fromiter(numbers, np.int64, len(words))
         bounds = np.frombuffer(self.bounds, np.int64)
         at = known[coded.indices.to_numpy()]
         places = bounds[at]
