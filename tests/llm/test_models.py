@@ -1,5 +1,7 @@
 """Quality classifier and language ID: held-out accuracy and edge cases."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -86,3 +88,45 @@ def test_language_evidence_and_edge_cases(spark):
     assert all(0 < r["p"] <= 1 for r in out)
     assert language.identify(pages, docs.where("false")).collect() == []
     assert language.identify(pages.where("false"), docs).collect() == []
+
+
+def test_fused_posterior_equals_a_plain_computation(spark):
+    docs = spark.createDataFrame(
+        [("the cat sat on the mat and the dog " * 5, "en"), ("der hund und die katze sind nicht hier " * 5, "de"),
+         ("le chat et le chien ne sont pas ici " * 5, "fr")], "text string, lang string")
+    bits = ["the dog and the cat", "die katze und der hund", "le chien et le chat", "mat", ""]
+    rows = [(i, f"https://{'abc'[i % 3]}.site{i % 2}.{'de' if i % 4 else 'co.uk'}/{['de/', 'en/', ''][i % 3]}x",
+             f"<html {['lang=en', 'LANG=\"de-AT\"', ''][i * 7 % 3]}><p>{bits[i * 3 % 5]}</p></html>") for i in range(40)]
+    rows += [(90, None, None), (91, "odd", "<p>" + bits[1] * 3000), (92, rows[0][1], rows[0][2]), (92, rows[0][1], rows[0][2])]
+    langs, log_p = language.text_model(docs)
+    assert langs == ["de", "en", "fr"]
+
+    def normal(x):
+        e = np.exp(x - np.max(x))
+        return e / e.sum()
+
+    facts = []
+    for _, url, html in rows:
+        m = re.match(r"[a-z]+://([^/]+)/(?:([a-z]{2})/)?", url or "")
+        host, path = (m[1], m[2] or "") if m else ("", "")
+        labels = host.split(".")
+        tag = re.search(r"(?i)<html[^>]*?lang\W+([a-z]+)", html or "")
+        loglik = np.sum([log_p[:, g] for g in language.trigrams(language.visible((html or "").encode()))], axis=0) \
+            * language.TEMPER + np.zeros(3)
+        facts.append((host, ".".join(labels[-2:]) if host else "", labels[-1], tag[1].lower() if tag else "", path, loglik))
+    soft = [normal(f[5]) for f in facts]
+    expected = []
+    for i, f in enumerate(facts):
+        prior = np.full(3, 1 / 3)
+        for same in (lambda g: True, lambda g: g[2] == f[2], lambda g: g[1:3] == f[1:3], lambda g: g[:3] == f[:3]):
+            n = sum((s for j, s in enumerate(soft) if j != i and same(facts[j])), np.zeros(3))
+            prior = (n + language.KAPPA * prior) / (n.sum() + language.KAPPA)
+        score = f[5] + np.log(prior)
+        for k in (3, 4):
+            values = {g[k] for g in facts}
+            n = sum(s for s, g in zip(soft, facts) if g[k] == f[k])
+            score = score + np.log((n + 1) / (sum(soft) + len(values)))
+        expected.append((rows[i][0], langs[int(np.argmax(score))], round(float(normal(score).max()), 9), f[3]))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = [(r["page_id"], r["lang"], round(r["p"], 9), r["declared"]) for r in language.identify(pages, docs).collect()]
+    assert sorted(got) == sorted(expected)

@@ -12,8 +12,11 @@ Four kinds of evidence are multiplied for each language:
 The likelihood of a declaration given the language, and the host prior, are
 not assumed but counted by grouped aggregation over all pages, with the text's
 posterior as soft count.  The host prior is smoothed through a hierarchy: all
-pages, suffix, registered domain, host; each level adds ``KAPPA`` pages' worth
-of its parent.  A host with any share of the pages is a pre-aggregated key.
+pages, suffix, domain (the host's last two labels, also under ``co.uk`` and
+the like), host; each level adds ``KAPPA`` pages' worth of its parent.  A page
+is left out of its own prior's counts, so its text does not count twice.  A
+host with any share of the pages is a pre-aggregated key, and the pages meet
+the hosts' counts in a join that salts the hosts.
 
 Defined results: a page without text, markup or usable address has the prior
 of what is known of it; null or malformed html or url count as missing; a
@@ -35,7 +38,11 @@ from pyspark.sql import functions as F
 from varietas.llm.common import chunks, ship_by_value, small_batches, table, written
 
 BUCKETS, TEMPER, KAPPA, MOST_LANGUAGES = 1 << 16, 0.05, 5.0, 256
+SALTS = 16
+GATHERED = 1 << 18  # trigram probabilities looked up at once
 MARKUP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+HTML_TAG = re.compile(rb"(?i)<html\b[^>]*")
+LANG = re.compile(rb"(?i)\blang\s*=\s*[\"']?([A-Za-z]{2,3})")
 
 
 def trigrams(text: bytes) -> np.ndarray:
@@ -70,14 +77,15 @@ def text_model(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()) \
         .select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("text"))
     counts = rows.mapInArrow(counted, "lang string, bucket int, n bigint") \
-        .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r.lang for r in counts})
+        .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = counts["lang"].combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"{len(langs)} languages; at most {MOST_LANGUAGES} are expected")
-    at = {x: i for i, x in enumerate(langs)}
+    place = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)
     n = np.full((len(langs), BUCKETS), 0.5)
-    for r in counts:
-        n[at[r.lang], r.bucket] += r.n
+    if langs:
+        n[place[np.asarray(names.indices)], np.asarray(counts["bucket"])] += np.asarray(counts["n"])
     return langs, np.log(n / n.sum(axis=1, keepdims=True)) if langs else n
 
 
@@ -85,19 +93,29 @@ def visible(html: bytes) -> bytes:
     return MARKUP.sub(b" ", html)
 
 
+def declared_of(html: bytes) -> str:
+    """The primary code of the ``lang`` attribute of ``<html>``, or nothing."""
+    tag = HTML_TAG.search(html)
+    found = LANG.search(tag[0]) if tag else None
+    return found[1].decode().lower() if found else ""
+
+
 def likelihoods(log_p: np.ndarray, temper: float):
-    """Tempered log likelihood of each language for a page's text."""
+    """Declared language of a page, and the tempered log likelihood of each
+    language for its text."""
+    step = max(1, GATHERED // len(log_p))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        others = None
         for batch, pages in chunks(batches, "html"):
             others = [c for c in batch.schema.names if c != "html"]
             out = []
             for html in pages:
                 g = trigrams(visible(html))
-                out.append((log_p[:, g].sum(axis=1) * temper).tolist())
+                parts = [log_p[:, g[a:a + step]].sum(axis=1) for a in range(0, len(g), step)]
+                out.append((np.sum(parts, axis=0) * temper if parts else np.zeros(len(log_p))).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in others] + [pa.array(out, pa.list_(pa.float64()))],
-                [*others, "loglik"])
+                [*map(batch.column, others), pa.array(map(declared_of, pages), pa.string()),
+                 pa.array(out, pa.list_(pa.float64()))], [*others, "declared", "loglik"])
 
     return run
 
@@ -116,16 +134,14 @@ def added(*parts: Column) -> Column:
 
 
 def page_evidence(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """Host, domain, suffix, declared language and path language of pages."""
+    """Host, domain, suffix and path language of pages."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][\w+.-]*://([^/:?#]+)", 1))
     path = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[^:]+://[^/]+/([A-Za-z]{2})(?:[/?#]|$)", 1))
-    declared = F.lower(F.regexp_extract(F.coalesce(F.col(html), F.lit("")),
-                                        r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
     return pages.select(
         F.col(key).alias("key"), host.alias("host"),
         F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"),
         F.regexp_extract(host, r"\.([^.]+)$", 1).alias("suffix"),
-        declared.alias("declared"), path.alias("path"), F.col(html).cast("binary").alias("html"))
+        path.alias("path"), F.col(html).cast("binary").alias("html"))
 
 
 def sums(rows: DataFrame, by: list[str], n: int) -> DataFrame:
@@ -134,13 +150,32 @@ def sums(rows: DataFrame, by: list[str], n: int) -> DataFrame:
     return rows.groupBy(*by).agg(*cols).select(*by, F.array(*(f"s{i}" for i in range(n))).alias("soft"))
 
 
-def smoothed(counts: DataFrame, parents: DataFrame, on: list[str], kappa: float) -> DataFrame:
-    """Prior of a key: its counts and ``kappa`` pages of its parent's prior."""
-    parent = parents.withColumnRenamed("prior", "parent")
-    rows = counts.join(parent, on) if on else counts.crossJoin(F.broadcast(parent))  # one row
-    total = F.aggregate("soft", F.lit(kappa), lambda a, v: a + v)
-    return rows.withColumn("prior", F.zip_with("soft", "parent", lambda s, p: (s + kappa * p) / total)) \
-        .drop("soft", "parent")
+def host_counts(rows: DataFrame, n: int) -> DataFrame:
+    """Per host its own soft counts and those of its domain and suffix."""
+    hosts = sums(rows, ["suffix", "domain", "host"], n)
+    domains = sums(hosts, ["suffix", "domain"], n).withColumnRenamed("soft", "of_domain")
+    suffixes = sums(hosts, ["suffix"], n).withColumnRenamed("soft", "of_suffix")
+    return hosts.join(domains, ["suffix", "domain"]).join(suffixes, "suffix") \
+        .select("host", F.col("soft").alias("of_host"), "of_domain", "of_suffix")
+
+
+def prior_without(own: Column, levels: list[Column], n: int, kappa: float) -> Column:
+    """Prior from nested counts, widest first, each without the page's
+    ``own`` and with ``kappa`` pages of the level above."""
+    prior = F.array_repeat(F.lit(1.0 / n), n)
+    for counts in levels:
+        # what is left of a sum of doubles may fall below 0 by a rounding error
+        rest = F.zip_with(counts, own, lambda c, o: F.greatest(c - o, F.lit(0.0)))
+        total = F.aggregate(rest, F.lit(float(kappa)), lambda a, v: a + v)
+        prior = F.zip_with(rest, prior, lambda c, p: (c + kappa * p) / total)
+    return prior
+
+
+def with_host_counts(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Rows with their host's counts; a host's rows go to ``SALTS`` tasks."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("key", "loglik"), F.lit(SALTS)).cast("int"))
+    copies = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["host", "salt"]).drop("salt")
 
 
 def declared_likelihood(rows: DataFrame, column: str, n: int) -> DataFrame:
@@ -168,21 +203,17 @@ def identify(pages: DataFrame, docs: DataFrame, *, key: str = "page_id", url: st
     if not n:
         return evidence.where("false").select(
             F.col("key").alias(key), F.lit("").alias("lang"), F.lit(0.0).alias("p"),
-            F.lit("").alias("text_lang"), "declared")
+            F.lit("").alias("text_lang"), F.lit("").alias("declared"))
     rows = evidence.mapInArrow(likelihoods(log_p, temper), (
-        f"key {kind}, host string, domain string, suffix string, declared string, path string, "
+        f"key {kind}, host string, domain string, suffix string, path string, declared string, "
         "loglik array<double>"))
     rows = written(rows.withColumn("soft", softmax(F.col("loglik"))), "page-evidence")
-    flat = spark.createDataFrame([([1.0 / n] * n,)], "prior array<double>")
-    prior = smoothed(sums(rows.groupBy().agg(*(F.sum(F.get("soft", F.lit(i))).alias(f"s{i}") for i in range(n)))
-                          .select(F.array(*(F.coalesce(f"s{i}", F.lit(0.0)) for i in range(n))).alias("soft")),
-                          [], n), flat, [], kappa)
-    by_suffix = smoothed(sums(rows, ["suffix"], n), prior, [], kappa)
-    by_domain = smoothed(sums(rows, ["suffix", "domain"], n), by_suffix, ["suffix"], kappa)
-    by_host = smoothed(sums(rows, ["domain", "host"], n),
-                       by_domain.select("domain", "prior"), ["domain"], kappa) \
-        .select("host", F.transform("prior", lambda p: F.log(p)).alias("host_log"))
-    joined = rows.join(by_host, "host")
+    everything = rows.agg(*(F.sum(F.get("soft", F.lit(i))).alias(f"s{i}") for i in range(n))).first()
+    of_all = F.array(*(F.lit(x or 0.0) for x in everything))
+    joined = with_host_counts(rows, host_counts(rows, n))
+    prior = prior_without(F.col("soft"), [of_all, F.col("of_suffix"), F.col("of_domain"), F.col("of_host")], n, kappa)
+    joined = joined.withColumn("host_log", F.transform(prior, lambda p: F.log(p))) \
+        .drop("of_host", "of_domain", "of_suffix")
     for column in ("declared", "path"):
         joined = joined.join(declared_likelihood(rows, column, n), column)
     fused = joined.withColumn("posterior", softmax(added(
