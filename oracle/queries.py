@@ -386,6 +386,21 @@ d AS (SELECT ds_name, doc_id, pos, list_transform(range(0, len(tk)), lambda i:
       FROM r2)
 SELECT ds_name, doc_id, pos, array_to_string(parts, '; ') AS dep_parse_tree FROM d"""
 
+ORACLE["dep_vocabulary"] = f"""
+SELECT regexp_extract(part, ' dep: ([A-Za-z]+)$', 1) AS label, count(*) AS n
+FROM (SELECT unnest(string_split(dep_parse_tree, '; ')) AS part FROM ({ORACLE["dep_tree_string"]}) WHERE dep_parse_tree <> '')
+GROUP BY ALL"""
+
+DEP_PARSES = f"""dp AS (SELECT d.*, s.nl_instructions FROM ({ORACLE["dep_tree_string"]}) d
+  JOIN ({S_DOCS}) s USING (ds_name, doc_id, pos)),
+dg AS (SELECT ds_name, dep_parse_tree, count(*) AS n, min({{'d': doc_id, 'p': pos}}) AS first,
+  arg_min(nl_instructions, {{'d': doc_id, 'p': pos}}) AS exemplar FROM dp GROUP BY ALL),
+dc AS (SELECT *, row_number() OVER (PARTITION BY ds_name ORDER BY first) - 1 AS code,
+  CAST(row_number() OVER (PARTITION BY ds_name ORDER BY n DESC, dep_parse_tree) AS INTEGER) AS rank FROM dg)"""
+ORACLE["common_dep_parses"] = f"""WITH {DEP_PARSES}
+SELECT ds_name, dep_parse_tree, n, exemplar, code, rank FROM dc WHERE rank <= 25"""
+ORACLE["dep_parse_histogram"] = f"WITH {DEP_PARSES} SELECT ds_name, code, n FROM dc"
+
 # ------------------------------------------------- A8: common parses
 PARSES = f"""{ANN},
 p AS (SELECT ds_name, doc_id, pos, nl_instructions, array_to_string(tg, ' ') AS parse FROM ann),
@@ -540,6 +555,13 @@ SELECT ds_name, doc_id, pos, nl_instructions, nl_instructions AS spacy_parse,
 FROM r2"""
 
 
+ORACLE["features_written"] = ORACLE["feature_table"]
+
+ORACLE["read_catalog"] = """
+SELECT 'documents' AS ds_name, doc_id, text AS nl_instructions FROM documents
+UNION ALL SELECT 'items', item_id, text FROM benchmark"""
+
+
 def _fmt4(x: str) -> str:
     return f"printf('%.4f', CAST({x} AS DOUBLE))"
 

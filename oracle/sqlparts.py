@@ -140,14 +140,6 @@ def conversations_corpus() -> str:
             "text AS nl_instructions FROM conversations")
 
 
-def benchmark_corpus() -> str:
-    return "SELECT 'benchmark' AS ds_name, item_id AS doc_id, text AS nl_instructions FROM benchmark"
-
-
-def part_corpus() -> str:
-    return "SELECT 'part' AS ds_name, p_partkey AS doc_id, p_name AS nl_instructions FROM part"
-
-
 def sentences(corpus_sql: str) -> str:
     """Sentence table S over a corpus select (ds_name, doc_id, nl_instructions)."""
     return (f"SELECT ds_name, doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, "

@@ -26,12 +26,47 @@ def test_csv_catalog_and_ds_name(spark):
     with open(f"{d}/metadata.json", "w") as f:
         json.dump({"alpha": "a/a.csv", "beta": "b/b.csv", "gamma": "c/c.csv"}, f)
     df = vio.read_catalog(spark, f"{d}/metadata.json", base_dir=d, names=["alpha", "beta"],
-                          schema="nl_instructions string, extra int")
+                          schema="nl_instructions string, extra int", multi_line=True)
     got = sorted((r.ds_name, r.nl_instructions) for r in df.collect())
     assert got == [("alpha", 'multi\nline, quoted "x"'), ("alpha", "pick up the block. place it"),
                    ("beta", "open drawer")]
 
 
+def test_catalog_of_folders_blanks_and_globs(spark):
+    d = _tmp()
+    for name in ("folder", "with blank", "parts"):
+        os.makedirs(f"{d}/{name}")
+    for i, path in enumerate(["folder/x.csv", "folder/y.csv", "with blank/my file.csv", "parts/p1.csv",
+                              "parts/p2.csv", "parts/q.csv"]):
+        with open(f"{d}/{path}", "w") as f:
+            f.write(f"nl_instructions\ntext {i}\n")
+    entries = {"all": "folder", "blank": "with blank/my file.csv", "some": "parts/p*.csv", "none": "parts/z*.csv"}
+    with open(f"{d}/catalogue.json", "w") as f:
+        json.dump(entries, f)
+    df = vio.read_catalog(spark, f"{d}/catalogue.json", d, ["all", "blank", "some"], schema="nl_instructions string")
+    assert sorted((r.ds_name, r.nl_instructions) for r in df.collect()) == [
+        ("all", "text 0"), ("all", "text 1"), ("blank", "text 2"), ("some", "text 3"), ("some", "text 4")]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        vio.read_catalog(spark, f"{d}/catalogue.json", d, ["none"])
+    with pytest.raises(ValueError, match="not in the catalogue: other"):
+        vio.read_catalog(spark, f"{d}/catalogue.json", d, ["all", "other"])
+
+
+def test_large_csv_is_split_unless_lines_are_joined(spark):
+    d = _tmp()
+    with open(f"{d}/big.csv", "w") as f:
+        f.write("nl_instructions\n" + "".join(f"row {i} of the file\n" for i in range(20000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        split = vio.read_corpus(spark, f"{d}/big.csv", "csv")
+        whole = vio.read_corpus(spark, f"{d}/big.csv", "csv", multi_line=True)
+        assert split.count() == whole.count() == 20000
+        assert split.rdd.getNumPartitions() > 1 == whole.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_ds_name_from_path(spark):
     df = spark.createDataFrame([("x/results/rt1/rt1_results.csv",)], "p string")
     assert df.select(vio.ds_name_from_path("p").alias("n")).first().n == "rt1"

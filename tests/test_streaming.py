@@ -17,3 +17,12 @@ def test_stream_matches_batch(spark, sf_dir):
     cols = ["ds_name", "doc_id", "pos", "nl_instructions", "seq_len", "constituency_parse_tree"]
     assert got.count() == want.count() > 0
     assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
+
+
+def test_restart_goes_on_where_it_stopped(spark, sf_dir):
+    sink = tempfile.mkdtemp(prefix="varietas-sink-", dir="/tmp")
+    counts = []
+    for _ in range(2):
+        stream_features(spark, sf_dir, sink, glob="documents.parquet").awaitTermination(300)
+        counts.append(spark.read.parquet(sink).count())
+    assert counts[0] == counts[1] > 0

@@ -7,6 +7,8 @@ to strings only at this edge so results compare across engines.
 
 from __future__ import annotations
 
+import json
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from varietas.functions.text import clean_text, split_sentences, tokenize
 from varietas.operators import clean, collocations, pairwise, sampling, stats
+from varietas.session import ensure_checkpoint_dir
 from varietas.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -366,11 +369,38 @@ def q_tag_vocabulary(spark, sf_dir):
     return annotate.tag_vocabulary(annotated(spark, sf_dir))
 
 
+def dependencies(spark, sf_dir):
+    T = annotated(spark, sf_dir)
+    return T.select(*SKEYS, "nl_instructions",
+                    annotate.dependency_struct(F.col("tokens"), F.col("tags")).alias("dep"))
+
+
+def dep_parses(spark, sf_dir):
+    D = dependencies(spark, sf_dir)
+    return D.select(*SKEYS, "nl_instructions", annotate.dep_tree_string(F.col("dep")).alias("dep_parse_tree"))
+
+
 @query("dep_tree_string")
 def q_dep_tree_string(spark, sf_dir):
-    T = annotated(spark, sf_dir)
-    dep = annotate.dependency_struct(F.col("tokens"), F.col("tags"))
-    return T.select(*SKEYS, annotate.dep_tree_string(dep).alias("dep_parse_tree"))
+    return dep_parses(spark, sf_dir).drop("nl_instructions")
+
+
+@query("dep_vocabulary")
+def q_dep_vocabulary(spark, sf_dir):
+    D = dependencies(spark, sf_dir).select(F.transform("dep.tokens", lambda t: t["dep"]).alias("labels"))
+    return annotate.tag_vocabulary(D, "labels").withColumnRenamed("tag", "label")
+
+
+@query("common_dep_parses")
+def q_common_dep_parses(spark, sf_dir):
+    return stats.common_parses(dep_parses(spark, sf_dir), "dep_parse_tree", "nl_instructions", k=25)
+
+
+@query("dep_parse_histogram")
+def q_dep_parse_histogram(spark, sf_dir):
+    codes = stats.value_codes(dep_parses(spark, sf_dir), "dep_parse_tree", ["doc_id", "pos"],
+                              extra_aggs=[F.count(F.lit(1)).alias("n")])
+    return codes.select("ds_name", "code", "n")
 
 
 @query("shallow_tree")
@@ -523,6 +553,26 @@ def q_scan_corpus(spark, sf_dir):
     return d.select(F.col("source").alias("ds_name"), "doc_id", F.col("text").alias("nl_instructions"))
 
 
+@query("read_catalog")
+def q_read_catalog(spark, sf_dir):
+    """Datasets of a catalogue that is written beside the checkpoints."""
+    folder = f"{ensure_checkpoint_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+    entries = {"documents": "documents.parquet", "items": "benchmark.parquet", "unused": "part.parquet"}
+    spark.createDataFrame([(json.dumps(entries),)], "value string").coalesce(1).write.text(folder)
+    d = vio.read_catalog(spark, folder, sf_dir, ["documents", "items"], fmt="parquet")
+    return d.select("ds_name", F.coalesce("doc_id", "item_id").alias("doc_id"), F.col("text").alias("nl_instructions"))
+
+
+@query("features_written")
+def q_features_written(spark, sf_dir):
+    """The feature table as it is read back from its files."""
+    folder = f"{ensure_checkpoint_dir(spark)}/features-{uuid.uuid4().hex}"
+    vio.write_features(feature_job.build_features(corpus.documents_corpus(spark, sf_dir)), folder)
+    return vio.read_corpus(spark, folder).select(
+        *SKEYS, "nl_instructions", "spacy_parse", F.array_join("nouns", " ").alias("nouns"),
+        F.array_join("verbs", " ").alias("verbs"), "seq_len", "constituency_parse_tree")
+
+
 @query("ds_name_from_path")
 def q_ds_name_from_path(spark, sf_dir):
     pages = corpus.read_table(spark, sf_dir, "pages")

@@ -42,17 +42,3 @@ def conversations_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("conversations").alias("ds_name"),
         (F.col("conv_id").cast("bigint") * (1 << 32) + F.col("turn")).alias("doc_id"),
         F.col("text").alias(TEXT)))
-
-
-def benchmark_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``benchmark`` items as one dataset."""
-    return read_table(spark, sf_dir, "benchmark").select(
-        F.lit("benchmark").alias("ds_name"), F.col("item_id").alias("doc_id"),
-        F.col("text").alias(TEXT))
-
-
-def part_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``part.p_name``: short, very repetitive two-word commands."""
-    return read_table(spark, sf_dir, "part").select(
-        F.lit("part").alias("ds_name"), F.col("p_partkey").alias("doc_id"),
-        F.col("p_name").alias(TEXT))

@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varietas.operators.ordering import broadcast_if_small
-
 TEXT = "nl_instructions"
 # Default pattern of a dataset name inside a results path.
 RESULTS_DIR_PATTERN = r"results/([^/]+)/"
 
 
 def read_corpus(spark: SparkSession, path: str | list[str], fmt: str = "parquet",
-                schema: T.StructType | str | None = None) -> DataFrame:
-    """Read a corpus.  Parquet by default; CSV with a header row,
-    quoted multi-line fields and ``"`` as escape.  Pass ``schema`` to skip
-    inference (always do so for large CSV inputs)."""
+                schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+    """Read a corpus.  Parquet by default; CSV with a header row and
+    ``"`` as escape, columns as strings unless ``schema`` is given.
+
+    A CSV file is split over tasks.  ``multi_line`` allows line breaks inside
+    quoted fields, for which a file has to be read by one task: set it only
+    for corpora of many files."""
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = (reader.option("header", True).option("multiLine", True)
+        reader = (reader.option("header", True).option("multiLine", multi_line)
                   .option("escape", '"'))
         if schema is None:
             reader = reader.option("inferSchema", False)
@@ -46,29 +48,27 @@ def ds_name_from_path(path: Column | str, pattern: str = RESULTS_DIR_PATTERN,
 
 def read_catalog(spark: SparkSession, catalog_path: str, base_dir: str = "",
                  names: Iterable[str] | None = None, fmt: str = "csv",
-                 schema: T.StructType | str | None = None) -> DataFrame:
+                 schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
     """Resolve dataset names through a JSON catalogue ``{name: path}``
     and read the chosen datasets into one table tagged with ``ds_name``.
 
-    The catalogue (one small JSON file) is read by Spark; only its list of
-    paths reaches the driver, to hand them to the reader.  Rows are tagged
-    by joining the file each row came from (``_metadata.file_path``) with
-    the catalogue.
+    A path may be a file, a folder or a glob, and may hold blanks.  Each
+    entry has a reader of its own, whose rows bear the entry's name whatever
+    files it finds; the tables are united by column name, a column that an
+    entry lacks being null.  A name that the catalogue lacks, or a path
+    without a file, raises.  The catalogue is one small JSON file read by
+    Spark; only its entries reach the driver.
     """
-    cat = (spark.read.text(catalog_path, wholetext=True)
-           .select(F.explode(F.from_json("value", "map<string,string>")).alias("ds_name", "rel")))
-    if names is not None:
-        cat = cat.filter(F.col("ds_name").isin(list(names)))
+    entries = {r.ds_name: r.path for r in spark.read.text(catalog_path, wholetext=True).select(
+        F.explode(F.from_json("value", "map<string,string>")).alias("ds_name", "path")).collect()}
+    wanted = sorted(entries if names is None else set(names))
+    unknown = [n for n in wanted if n not in entries]
+    if unknown or not wanted:
+        raise ValueError(f"not in the catalogue: {', '.join(unknown) or 'any dataset'}")
     base = base_dir.rstrip("/") + "/" if base_dir else ""
-    cat = cat.select("ds_name", F.concat(F.lit(base), F.col("rel")).alias("path"))
-    paths = [r.path for r in cat.select("path").collect()]  # catalogue entries only
-    if not paths:
-        raise ValueError("no dataset of the catalogue matches")
-    df = read_corpus(spark, paths, fmt, schema)
-    df = df.withColumn("_file", F.col("_metadata.file_path"))
-    cat = cat.withColumn("_file", F.regexp_replace("path", "^(?!file:)(/)", "file:/"))
-    tagged = df.join(broadcast_if_small(cat.select("ds_name", "_file")), "_file", "left")
-    return tagged.drop("_file")
+    tables = [read_corpus(spark, base + entries[n], fmt, schema, multi_line).withColumn("ds_name", F.lit(n))
+              for n in wanted]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def write_features(df: DataFrame, path: str, fmt: str = "parquet",

@@ -3,8 +3,9 @@
 Cleaning, splitting and annotation are stateless row operations, so the
 same plan runs unchanged under Structured Streaming: new corpus files are
 picked up, turned into sentence rows with features and appended to a
-Parquet sink.  The checkpoint lives in the session's shared
-``spark.checkpoint.dir`` unless one is given.
+Parquet sink.  The checkpoint lives in the sink's own folder
+(``_checkpoint``, which readers of the sink pass over) unless one is given: a
+restarted job goes on where it stopped, and two jobs never share one.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from varietas.plans.features import build_features
-from varietas.session import ensure_checkpoint_dir
 
 DOCUMENTS_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -35,7 +35,7 @@ def stream_features(spark: SparkSession, source_dir: str, sink_dir: str,
     docs = reader.load(source_dir)
     corpus = docs.selectExpr("source AS ds_name", "doc_id", "text AS nl_instructions")
     feats = build_features(corpus, parse_tree=True)
-    ckpt = checkpoint_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-features"
+    ckpt = checkpoint_dir or f"{sink_dir.rstrip('/')}/_checkpoint"
     writer = (feats.writeStream.format("parquet").option("path", sink_dir)
               .option("checkpointLocation", ckpt).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
