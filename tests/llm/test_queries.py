@@ -74,3 +74,16 @@ def test_pipeline_stages_take_effect_in_order(spark, sf_dir):
 
     assert packed(corpus_pipeline.run(spark, sf_dir)) == packed(docs)
     assert all(r[1] == r[2] for r in packed(docs))
+
+
+def test_line_stage_keeps_clashing_columns_and_drops_emptied_documents(spark, documents):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, passage), (2, passage + "\nown line"), (3, passage), (4, None), (5, ""), (6, "own\n\nother")]
+    docs = documents(rows).withColumn("_removed", F.lit("mine")).withColumn("_LINES", F.lit("too")) \
+        .withColumn("n_chars", F.length("text").cast("bigint"))
+    out = corpus_pipeline.line_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert {i: (r["text"], r["n_chars"]) for i, r in got.items()} == {
+        1: (passage, len(passage)), 2: ("own line", 8), 4: (None, None), 5: ("", 0), 6: ("own\n\nother", 10)}
+    assert all(r["_removed"] == "mine" and r["_LINES"] == "too" for r in got.values())

@@ -56,33 +56,37 @@ def line_table(docs: DataFrame, key: str, text: str, source: str, passage_words:
 
 
 def spread_lines(lines: DataFrame, min_sites: int, passage_sites: int, margin: float) -> DataFrame:
-    """``line``, ``check`` of all lines at or over their threshold."""
+    """``line``, ``check`` of all lines at or over their threshold, and
+    ``holder``, the first document that has the line: found by the same
+    pre-aggregated pass as the sketch, so a frequent line never meets in one
+    task."""
     limit = F.when(F.col("long"), passage_sites).otherwise(min_sites)
     estimated = lines.groupBy("line", "check", "long").agg(
         F.count(F.lit(1)).alias("copies"),
+        F.min(F.struct(F.col("key").isNull().alias("last"), F.col("key"), F.col("doc"))).alias("first"),
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("spread")) \
-        .where(F.col("copies") >= limit)  # fewer copies cannot reach it
+        .where(F.col("copies") >= limit).withColumn("holder", F.col("first.doc")).drop("first")
+    # fewer copies cannot reach the threshold
     estimated = written(estimated, "spread")
-    clear = estimated.where(F.col("spread") > limit * (1 + margin)).select("line", "check")
+    clear = estimated.where(F.col("spread") > limit * (1 + margin)).select("line", "check", "holder")
     near = estimated.where(F.col("spread").between(limit * (1 - margin), limit * (1 + margin)))
     exact = lines.join(near.select("line", "check"), ["line", "check"], "left_semi") \
         .select("line", "check", "long", "site").distinct() \
         .groupBy("line", "check", "long").agg(F.count(F.lit(1)).alias("sites")) \
         .where(F.col("sites") >= limit).select("line", "check")
-    return clear.unionByName(exact)
+    return clear.unionByName(near.join(exact, ["line", "check"]).select("line", "check", "holder"))
 
 
 def remove_spread_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                         source: str = "source", min_sites: int = MIN_SITES,
                         passage_words: int = PASSAGE_WORDS, passage_sites: int = PASSAGE_SITES,
-                        margin: float = MARGIN) -> DataFrame:
+                        margin: float = MARGIN, n_lines: str = "_lines",
+                        n_removed: str = "_removed") -> DataFrame:
     """All columns of ``docs`` with the cleaned ``text``, and the line counts
-    ``_lines`` and ``_removed`` (in place of columns of these names)."""
+    in columns ``n_lines`` and ``n_removed`` (in place of columns of these
+    names; choose others to keep those)."""
     lines = written(line_table(docs, key, text, source, passage_words), "lines")
-    spread = spread_lines(lines, min_sites, passage_sites, margin)
-    holders = lines.join(spread, ["line", "check"]).groupBy("line", "check").agg(
-        F.min(F.struct(F.col("key").isNull().alias("last"), F.col("key"), F.col("doc"))).alias("first"))
-    holders = written(holders.select("line", "check", F.col("first.doc").alias("holder")), "holders")
+    holders = written(spread_lines(lines, min_sites, passage_sites, margin), "holders")
     mark, gone = unused(docs, "_doc"), unused(docs, "_taken")
     taken = lines.join(holders, ["line", "check"]).where("doc <> holder") \
         .groupBy(F.col("doc").alias(mark)).agg(F.collect_set("at").alias(gone))  # a document's own lines
@@ -92,8 +96,8 @@ def remove_spread_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone)))
     cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(
         F.transform(kept, lambda i: F.get(split, i)), "\n"))
-    return rows.withColumn("_lines", F.size(split)) \
-        .withColumn("_removed", F.coalesce(F.size(gone), F.lit(0))) \
+    return rows.withColumn(n_lines, F.size(split)) \
+        .withColumn(n_removed, F.coalesce(F.size(gone), F.lit(0))) \
         .withColumn(text, cleaned).drop(mark, gone)
 
 
