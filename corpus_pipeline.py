@@ -35,10 +35,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = linededup.remove_spread_lines(docs)
-    emptied = (F.col("_removed") > 0) & (F.trim("text") == "")
+    lines, removed = unused(docs, "_lines"), unused(docs, "_removed")
+    cleaned = linededup.remove_spread_lines(docs, n_lines=lines, n_removed=removed)
+    emptied = (F.col(removed) > 0) & (F.trim("text") == "")
     return cleaned.where(~emptied) \
-        .withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("bigint"))
+        .withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("bigint"))
                     .otherwise(F.col("n_chars"))).select(docs.columns)
 
 
