@@ -109,6 +109,28 @@ def test_jaccard_star_of_variants_is_one_component(documents, leaves, doubts):
     assert sorted(tuple(r) for r in out.collect()) == expected
 
 
+def test_jaccard_rounds_stay_few_where_links_are_refuted(documents, monkeypatch):
+    """A crowd of short variants near the threshold: many bitmaps allow links
+    that their sets refuse, and no round may settle one link at a time."""
+    rng = random.Random(5)
+    bases = [prose(rng, 100) for _ in range(3)]
+    rows = [(i, " ".join(changed(rng, bases[i % 3], 1 + i % 4))) for i in range(400)]
+    refused, searches, write = [], [], jaccard_join.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "likely":
+            searches.append(name)
+        if name == "verified":
+            refused.append(out.where("not linked").count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    out = jaccard_join.jaccard_components(documents(rows), doubts=8)
+    assert sorted(tuple(r) for r in out.collect()) == brute_components(rows)
+    assert sum(refused) > 20 and len(searches) <= 5
+
+
 def test_jaccard_null_keys_and_empty_table(documents):
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (None, "p q r s t u"), (None, None)]
     out = {tuple(r) for r in jaccard_join.jaccard_components(documents(rows)).collect()}

@@ -25,15 +25,18 @@ Rows with one and the same set are one member of the join.
    by more than the allowed one rule a link out without a comparison.  Sets
    already joined are not compared again.  What remains is a forest of likely
    links, plus the doubtful ones.
-4. Those are verified on the whole sets.  A round takes so many doubtful links
-   of a set at most (``doubts``, twice as many in each further round); a bucket
-   where more are left, or with refuted links, is gone through again with what
-   is known, until nothing is left out or refuted; then all links between
-   different components have been seen.
+4. Those are verified on the whole sets.  The first round counts on links that
+   look well inside, and takes ``doubts`` doubtful ones of a set at most.  A
+   bucket where more are left, or where a link counted on was refuted, is gone
+   through again with what is known.  Further rounds count on nothing that is
+   not verified, so a refuted link asks for no other round, and take ``MORE``
+   times as many links of a set each, until none is left out: some
+   ``log(2 * cell / doubts) / log(MORE)`` rounds at most.  Then all links
+   between different components have been seen.
 
 The links found join the same components as all links; the number of all
 links, which grows with the square of a group, is not listed.  Shingles are
-compared by 64-bit hashes (40 bits within a verified pair).
+compared by 64-bit hashes.
 
 Defined results: a null, empty or blank text has no shingles and is linked
 with nothing; fewer than ``words`` words make one shingle; a text of any
@@ -56,7 +59,7 @@ from varietas.llm.common import (Words, chunks, gram_hashes, mix, ship_by_value,
                                  starts_of, table, written)
 from varietas.llm.graph import components
 
-WORDS, CELL, DOUBTS = 5, 2048, 64
+WORDS, CELL, DOUBTS, MORE = 5, 2048, 64, 8
 # Shingles of this many documents are frequent; a task sends its shingles on
 # whenever it holds HELD of them.
 FREQUENT, HELD = 2, 1 << 21
@@ -66,8 +69,9 @@ FREQUENT_BITS, FILTER_BITS, SLICE = 28, 24, 1 << 14
 PROFILE = "kind int, doc bigint, sid bigint, n bigint, data binary"
 CELLS = ("lo bigint, i int, j int, kind int, sid bigint, rep bigint, n bigint, data binary, "
          "other bigint")
-# A row without z: set x has a doubtful link that had to wait for another round.
-EDGES = "lo bigint, i int, j int, x bigint, xr bigint, z bigint, zr bigint"
+# ``sure`` links have been counted on.  A row without z: set x has a link that
+# had to wait for another round.
+EDGES = "lo bigint, i int, j int, x bigint, xr bigint, z bigint, zr bigint, sure boolean"
 
 
 def white_words() -> Words:
@@ -323,13 +327,14 @@ class Cell:
             m = m[:half] ^ m[half:]
         return m.view(np.uint64)
 
-    def likely(self, doubts: int) -> list[tuple[int, int]]:
-        """A forest of links that the bitmaps allow, and up to ``doubts``
-        doubtful links a set; ``waiting`` has the ends of the others."""
+    def likely(self, doubts: int, trusting: bool) -> list[tuple[int, int, bool]]:
+        """Links that the bitmaps allow, and whether they are counted on: a
+        forest of those well inside, if ``trusting``, and up to ``doubts``
+        others a set; ``waiting`` has the ends of what is left."""
         count = len(self.n)
         if count == 2:
             return self.only_pair()
-        found: list[tuple[int, int]] = []
+        found: list[tuple[int, int, bool]] = []
         over: list[tuple[int, np.ndarray]] = []
         sizes = np.array([len(m) for m in self.maps])
         # bitmaps of each width, of the members that have it or twice of it
@@ -368,11 +373,11 @@ class Cell:
             for ratio, z in best:
                 if roots[z] == roots[x]:
                     continue
-                if ratio <= 900:  # well inside: counts as joined until refuted
-                    found.append((x, z))
+                if trusting and ratio <= 900:  # well inside: counts as joined until refuted
+                    found.append((x, z, True))
                     roots[roots == roots[x]] = roots[z]
                 elif left:  # in doubt: verified, not counted on
-                    found.append((x, z))
+                    found.append((x, z, False))
                     left -= 1
                 else:
                     later.append(z)
@@ -386,16 +391,16 @@ class Cell:
         self.waiting = sorted(ends)
         return found
 
-    def only_pair(self) -> list[tuple[int, int]]:
+    def only_pair(self) -> list[tuple[int, int, bool]]:
         a, b = self.n.tolist()
         if 5 * a < 4 * b or self.root(0) == self.root(1) or self.refuted:
             return []
         size = min(len(m) for m in self.maps)
         d = int(np.bitwise_count(self.folded(0, size) ^ self.folded(1, size)).sum())
-        return [(1, 0)] if 9 * d <= a + b else []
+        return [(1, 0, False)] if 9 * d <= a + b else []
 
 
-def searched(doubts: int):
+def searched(doubts: int, trusting: bool):
     """Likely links of every cell; rows come sorted by cell."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, known = None, [], []
@@ -405,12 +410,12 @@ def searched(doubts: int):
             if key is None or len(members) < 2:
                 return None
             cell = Cell(members, known)
-            out = [(*key, cell.sids[x], cell.reps[x], cell.sids[z], cell.reps[z])
-                   for x, z in cell.likely(doubts)]
-            out += [(*key, cell.sids[x], cell.reps[x], None, None) for x in cell.waiting]
+            out = [(*key, cell.sids[x], cell.reps[x], cell.sids[z], cell.reps[z], sure)
+                   for x, z, sure in cell.likely(doubts, trusting)]
+            out += [(*key, cell.sids[x], cell.reps[x], None, None, False) for x in cell.waiting]
             if not out:
                 return None
-            kinds = [pa.int64(), pa.int32(), pa.int32()] + [pa.int64()] * 4
+            kinds = [pa.int64(), pa.int32(), pa.int32()] + [pa.int64()] * 4 + [pa.bool_()]
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
@@ -444,7 +449,7 @@ def sets_in(wanted: Bits):
 
 
 def whole_sets(k: int, wanted: Bits):
-    """Sets of the documents asked for, 40 bits a shingle."""
+    """Sets of the documents asked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = white_words()
         for batch, texts in chunks(batches, "text"):
@@ -453,10 +458,9 @@ def whole_sets(k: int, wanted: Bits):
                 if len(s):
                     sid = set_id(s)
                     if wanted.has(np.array([sid ^ (doc or 0)]))[0]:
-                        short = np.unique(s >> np.uint64(24)).astype("<u8")
                         out[0].append(sid)
                         out[1].append(doc)
-                        out[2].append(short.view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+                        out[2].append(s.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
                  pa.array(out[2], pa.binary())], ["sid", "rep", "body"])
@@ -465,17 +469,13 @@ def whole_sets(k: int, wanted: Bits):
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def numbers(body: bytes) -> np.ndarray:
-        wide = np.zeros((len(body) // 5, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(body, np.uint8).reshape(-1, 5)
-        return wide.view("<u8").reshape(-1)
-
-    names = ["lo", "i", "j", "x", "z"]
+    names = ["lo", "i", "j", "x", "z", "sure"]
     for batch in batches:
         linked = []
         for a, b in zip(batch.column("body").to_pylist(), batch.column("other_body").to_pylist()):
-            both = len(np.intersect1d(numbers(a), numbers(b), assume_unique=True))
-            linked.append(180 * both >= 80 * (len(a) // 5 + len(b) // 5))
+            both = len(np.intersect1d(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"),
+                                      assume_unique=True))
+            linked.append(180 * both >= 80 * (len(a) // 8 + len(b) // 8))
         yield pa.RecordBatch.from_arrays(
             [batch.column(c) for c in names] + [pa.array(linked, pa.bool_())], [*names, "linked"])
 
@@ -529,12 +529,12 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
             "lo", "i", "j", F.lit(0).alias("kind"), "sid", "rep", "n", "data",
             F.lit(None).cast("bigint").alias("other"))
 
-    def search(found: DataFrame, doubts: int) -> DataFrame:
+    def search(found: DataFrame, doubts: int, trusting: bool) -> DataFrame:
         dealt = found.repartition(parts, "lo", "i", "j").sortWithinPartitions("lo", "i", "j", "kind")
-        return written(dealt.mapInArrow(searched(doubts), EDGES), "likely")
+        return written(dealt.mapInArrow(searched(doubts, trusting), EDGES), "likely")
 
     with_sets = sets.where("sid is not null")
-    likely = search(with_maps(placed, with_sets), doubts)
+    likely = search(with_maps(placed, with_sets), doubts, True)
     # later rounds only meet sets that are linked or waiting here
     ends = likely.select(F.col("x").alias("sid"), F.col("xr").alias("rep")).unionByName(
         likely.where("z is not null").select(F.col("z").alias("sid"), F.col("zr").alias("rep")))
@@ -551,21 +551,21 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         pairs = edges.where("z is not null").withColumn("xr", F.coalesce("xr", F.lit(0))) \
             .withColumn("zr", F.coalesce("zr", F.lit(0))) \
             .join(left, ["x", "xr"]).join(right, ["z", "zr"]) \
-            .select("lo", "i", "j", "x", "z", "body", "other_body")
-        return written(pairs.mapInArrow(
-            verified, "lo bigint, i int, j int, x bigint, z bigint, linked boolean").distinct(),
+            .select("lo", "i", "j", "x", "z", "sure", "body", "other_body")
+        return written(pairs.mapInArrow(verified, (
+            "lo bigint, i int, j int, x bigint, z bigint, sure boolean, linked boolean")).distinct(),
             "verified")
 
     known = verify(likely)
 
     def unsettled(edges: DataFrame, answers: DataFrame) -> DataFrame:
-        """Cells with refuted or waiting links."""
-        cells = answers.where("not linked").select("lo", "i", "j")
+        """Cells with waiting links, or that counted on a refuted one."""
+        cells = answers.where("sure and not linked").select("lo", "i", "j")
         return cells.unionByName(edges.where("z is null").select("lo", "i", "j")).distinct()
 
     again = unsettled(likely, known)
     while again.take(1):
-        doubts *= 2
+        doubts *= MORE
         told = known.join(again, ["lo", "i", "j"], "left_semi").select(
             "lo", "i", "j", F.when(F.col("linked"), 2).otherwise(1).alias("kind"),
             F.col("x").alias("sid"), F.lit(None).cast("bigint").alias("rep"),
@@ -574,7 +574,7 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         places = written(placed.join(again, ["lo", "i", "j"], "left_semi"), "places")
         wanted = membership(places.select(F.col("sid").alias("value")))
         likely = search(with_maps(places, with_sets.mapInArrow(sets_in(wanted), PROFILE))
-                        .unionByName(told), doubts)
+                        .unionByName(told), doubts, False)
         new = verify(likely)
         known = written(known.unionByName(new), "known")
         again = unsettled(likely, new)
