@@ -145,14 +145,29 @@ class Bits:
 
     @classmethod
     def gathered(cls, power: int, slices: DataFrame) -> "Bits":
-        """The union of slices ``n, data`` of many tasks."""
+        """The union of slices ``n, data`` of many tasks.  Equal slices are
+        united first, so no more than the filter's own size is fetched, and in
+        a few jobs however many tasks there were."""
         out = cls(power)
         rows = out.bits.reshape(-1, SLICE)
-        for r in slices.select("n", "data").toLocalIterator():
+        united = slices.select("n", "data").repartition("n").mapInArrow(one_of_each, "n bigint, data binary")
+        for r in united.toLocalIterator():
             rows[r.n] |= np.frombuffer(bytes(r.data), np.uint8)
         return out
 
 
+def one_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The union of the slices of each number: a filter's size at most."""
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for n, data in zip(batch.column("n").to_pylist(), batch.column("data").to_pylist()):
+            bits = np.frombuffer(data, np.uint8)
+            found[n] = found[n] | bits if n in found else bits
+    for n, bits in found.items():
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()),
+                                          "data": pa.array([bits.tobytes()], pa.binary())})
+
+
 def packed(values: np.ndarray) -> bytes:
     """Sorted 32-bit numbers as byte planes of their differences."""
     steps = np.diff(values, prepend=np.uint32(0)).astype("<u4")
