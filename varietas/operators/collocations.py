@@ -14,9 +14,10 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varietas.operators.joins import lookup_join
+from varietas.operators.joins import broadcast_if_small, lookup_join
 from varietas.operators.ordering import with_group
 from varietas.operators.stats import STOPWORDS, adjacent_words, merged_plurals, top_k_per_group, words_of
+from varietas.session import checkpoint
 
 DEFAULT_BY = ("ds_name",)
 # Fixed value: the default score that a pair has to exceed.
@@ -61,17 +62,21 @@ def scored_pairs(df: DataFrame, col: str, keys: Sequence[str]) -> tuple[DataFram
     """``(pairs, words)``: pairs with ``bigram, n, first, second, score`` and
     standard words with ``word, n``."""
     found = words_of(F.col(col))
-    counts = df.select(*keys, F.explode(found).alias("word")).where(~F.col("word").isin(*STOPWORDS)) \
-        .groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
+    # written once: one row per word and per pair, which several steps below read
+    counts = checkpoint(df.select(*keys, F.explode_outer(found).alias("word"))
+                        .where(F.col("word").isNotNull() & ~F.col("word").isin(*STOPWORDS))
+                        .groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n")))
     forms = word_forms(counts, keys)
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    pairs = merged_plurals(df.where(F.size(found) >= 2).select(
-        *keys, F.explode(adjacent_words(found)).alias("key")), list(keys)).withColumnRenamed("key", "bigram")
+    grams = df.select(*keys, F.explode_outer(adjacent_words(found)).alias("key")).where(F.col("key").isNotNull())
+    pairs = checkpoint(merged_plurals(grams, list(keys)).withColumnRenamed("key", "bigram"))
     parts = F.split("bigram", " ")
     for side, at in (("first", 0), ("second", 1)):
         lookup = forms.select(*keys, F.col("word").alias("_word"), F.col("standard").alias(side),
                               F.col("n").alias(f"_{side}"))
-        pairs = lookup_join(pairs.withColumn("_word", parts[at]), lookup, [*keys, "_word"], "bigram").drop("_word")
+        # the pairs are distinct, so a frequent word has one row per partner:
+        # no key is so hot that a large table were worth copying for it
+        pairs = pairs.withColumn("_word", parts[at]).join(broadcast_if_small(lookup), [*keys, "_word"]).drop("_word")
     pairs = lookup_join(pairs, totals, keys, "bigram")
     score = log_likelihood_ratio(*[F.col(c).cast("double") for c in ("n", "_first", "_second", "_total")])
     words = forms.where(F.col("word") == F.col("standard")).select(*keys, "word", "n")
@@ -86,7 +91,7 @@ def collocations(df: DataFrame, col: str = "nl_instructions", by: Sequence[str]
     words."""
     df, keys = with_group(df, list(DEFAULT_BY if by is None else by))
     pairs, words = scored_pairs(df, col, keys)
-    taken = pairs.where(F.col("score") > threshold)
+    taken = checkpoint(pairs.where(F.col("score") > threshold))
     used = taken.select(*keys, "n", F.explode(F.array("first", "second")).alias("word")) \
         .groupBy(*keys, "word").agg(F.sum("n").alias("_used"))
     left = words.join(used, [*keys, "word"], "left").select(
