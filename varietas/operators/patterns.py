@@ -13,11 +13,12 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varietas.operators.ngrams import BUCKET, gram, inner_runs, token_runs
+from varietas.operators.ngrams import BUCKET, gram, inner_runs, token_offsets, token_runs
 from varietas.operators.joins import broadcast_if_small
 from varietas.operators.ordering import with_group
 from varietas.operators.sampling import sample_with_replacement
 from varietas.operators.stats import top_k_per_group
+from varietas.session import checkpoint
 
 DEFAULT_BY = ("ds_name",)
 
@@ -75,18 +76,22 @@ def common_patterns_full(T: DataFrame, n: int = 4, top_k: int = 5,
     """The same over the whole concatenated corpus of each group.
 
     Runs inside a document come from its own row, runs across documents from
-    the documents' ends (``ngrams.token_runs``).  They are counted per text
-    first; the few best patterns are then looked up among those counts.
+    the documents' ends (``ngrams.token_runs``).  Patterns are counted without
+    their texts, of which most are distinct; then only the runs of the few
+    best patterns give their texts.
     """
     T, keys = with_group(T, _by(by))
-    runs, _ = token_runs(T, {"token": F.col("tokens"), "tag": F.col("tags")}, n, keys, bucket)
-    counts = _text_counts(runs.select(*keys, gram("tag", n).alias("pattern"), gram("token", n).alias("text")), keys)
-    totals = counts.groupBy(*keys, "pattern").agg(F.sum("n").alias("n"))
-    top = top_k_per_group(totals, keys, [F.col("n").desc(), F.col("pattern")], top_k, bucket_col="pattern")
+    placed = token_offsets(T, F.col("tokens"), keys)
+    pattern = gram("tag", n).alias("pattern")
+    tags, _ = token_runs(T, {"tag": F.col("tags")}, n, keys, bucket, placed)
+    totals = tags.select(*keys, pattern).where(F.col("pattern").isNotNull()) \
+        .groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("n"))
+    top = checkpoint(top_k_per_group(totals, keys, [F.col("n").desc(), F.col("pattern")], top_k,
+                                     bucket_col="pattern").select(*keys, "pattern"))
+    runs, _ = token_runs(T, {"token": F.col("tokens"), "tag": F.col("tags")}, n, keys, bucket, placed)
     # groups x top_k rows: the many texts of a frequent pattern stay where they are
-    hits = counts.select(*keys, "pattern", "text").join(
-        broadcast_if_small(top.select(*keys, "pattern")), [*keys, "pattern"], "left_semi")
-    return hits.drop("_all")
+    hits = runs.withColumn("pattern", pattern).join(broadcast_if_small(top), [*keys, "pattern"], "left_semi")
+    return hits.select(*keys, "pattern", gram("token", n).alias("text")).distinct().drop("_all")
 
 
 def merge_maps(df: DataFrame, map_col: str | Column, by: Sequence[str]) -> DataFrame:
