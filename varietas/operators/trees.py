@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,13 +57,45 @@ def subtree_hashes(tree: str) -> list[int]:
     return out
 
 
+def _cut_all(trees: Sequence[str | None]) -> pa.ListArray:
+    """The strings of all closed nodes of each tree, as :func:`subtree_spans`
+    finds them, cut out of one text of the whole batch.
+
+    Brackets get the depth they stand at; at one depth of a tree an opening
+    bracket and the next closing one are partners."""
+    plain = pa.array([" ".join((t or "").replace("(", " ( ").replace(")", " ) ").split()) for t in trees], pa.string())
+    if not len(plain):
+        return pa.array([], pa.list_(pa.string()))
+    ends, text = np.frombuffer(plain.buffers()[1], np.int32)[:len(plain) + 1], plain.buffers()[2]
+    text = text.to_pybytes()[:ends[-1]] if text else b""
+    data = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero((data == ord("(")) | (data == ord(")")))
+    tree = np.searchsorted(ends, at, "right") - 1
+    opens = data[at] == ord("(")
+    total = np.cumsum(np.where(opens, 1, -1))
+    first = np.searchsorted(at, ends[:-1])
+    depth = total - np.concatenate([[0], total])[first][tree]
+    # closing brackets beyond the opened ones lower the ground; each tree
+    # begins below all that came before, so the ground starts anew
+    below = tree * (2 * len(at) + 2)
+    ground = np.minimum(np.minimum.accumulate(depth - below) + below, 0)
+    lone = ~opens & (depth == ground) & (np.concatenate([[0], ground[:-1]]) * (at != at[first[tree]]) > ground)
+    level = depth - ground + ~opens
+    kept = np.flatnonzero(~lone)
+    kept = kept[np.lexsort((level[kept], tree[kept]))]
+    a, b = kept[:-1], kept[1:]
+    pair = opens[a] & ~opens[b] & (tree[a] == tree[b]) & (level[a] == level[b])
+    a, b = a[pair], b[pair]
+    order = np.argsort(b)
+    nodes = [text[i:j] for i, j in zip(at[a[order]].tolist(), (at[b[order]] + 1).tolist())]
+    sizes = np.bincount(tree[b], minlength=len(plain))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()),
+                                    pa.array(nodes, pa.binary()).cast(pa.string()))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for tree in batch.column("_tree").to_pylist():
-            tokens = TREE_TOKEN.findall(tree or "")
-            out.append([" ".join(tokens[a:b]) for a, b in subtree_spans(tokens)])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.string()))],
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _cut_all(batch.column("_tree").to_pylist())],
                                          [*batch.schema.names[:-1], "_subtrees"])
 
 
