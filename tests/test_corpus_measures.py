@@ -250,6 +250,33 @@ def test_patterns_of_a_sample_equal_a_plain_count(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [0, 16_000, 64 << 20])
+def test_only_drawn_sentences_are_tagged(spark, monkeypatch, limit):
+    S = clean_and_standardize(corpus(spark, random_rows(16, 60)))
+    kept = dict(n=3, top_k=2, n_samples=40, batches=2, trials=2, seed=5)
+    want = {tuple(r) for r in patterns.common_patterns(annotate.pos_tag(S), **kept).collect()}
+    drawn = sampling.sample_with_replacement(S, 20, 2, 2, 5).select("ds_name", "s_doc_id", "s_pos")
+    drawn = {(r.ds_name, r.s_doc_id, r.s_pos) for r in drawn.collect()}
+    monkeypatch.setattr(sampling, "BROADCAST_MAX_BYTES", limit)
+    seen = []
+
+    def tag(rows):
+        seen.extend((r.ds_name, r.doc_id, r.pos) for r in rows.collect())
+        return annotate.pos_tag(rows)
+
+    assert {tuple(r) for r in patterns.common_patterns(S, tag=tag, **kept).collect()} == want
+    assert len(seen) == len(drawn) < S.count() and set(seen) == drawn
+
+
+def test_the_pattern_queries_tag_after_the_draw(spark, sf_dir):
+    from varietas.plans.queries import QUERIES
+    lines = QUERIES["common_patterns"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = {name: [len(x) - len(x.lstrip(" :+-")) for x in lines if name in x] for name in ("ArrowEvalPython", "LeftSemi", "Generate posexplode")}
+    assert max(depth["ArrowEvalPython"]) < min(depth["LeftSemi"])
+    # undrawn documents are not split into sentences either
+    assert max(depth["LeftSemi"]) > max(depth["Generate posexplode"])
+
+
 # ------------------------------------------------------------------- trees
 def test_hashes_follow_the_subtrees():
     tree = "(S (NP (DT the) (NN box)) (VP (VB move) (NP (DT the)  (NN box))))"

@@ -8,7 +8,7 @@ samples are merged (union of texts per pattern).
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,13 +42,16 @@ def _ranked(patterns: DataFrame, group: list[str], top_k: int) -> DataFrame:
 
 def common_patterns(T: DataFrame, n: int = 4, top_k: int = 5, n_samples: int = 10000,
                     batches: int = 4, trials: int = 3, seed: int = 0,
-                    by: Sequence[str] | None = None, cross_boundary: bool = True) -> DataFrame:
+                    by: Sequence[str] | None = None, cross_boundary: bool = True,
+                    tag: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Per (trial, batch) draw ``n_samples // batches`` tagged sentences
     with replacement, find the ``top_k`` most frequent tag n-grams of the
     concatenated sample and every token n-gram carrying one of them; merge
     all batches.  Returns distinct ``(by, pattern, text)``.
 
-    ``T`` needs ``tokens`` and ``tags`` arrays (from ``annotate.pos_tag``).
+    ``T`` needs ``tokens`` and ``tags`` arrays (from ``annotate.pos_tag``), or
+    ``tag`` adds them to the sentences drawn: their number does not grow with
+    the corpus, so a large one should come untagged.
     A sample is one array row per (group, trial, batch), bounded by the batch
     size and not by the corpus.  Its n-grams are formed once: counted per
     text, gathered with their texts per pattern, and the best patterns keep
@@ -57,7 +60,7 @@ def common_patterns(T: DataFrame, n: int = 4, top_k: int = 5, n_samples: int = 1
     T, keys = with_group(T, _by(by))
     per_batch = n_samples // batches
     picks = sample_with_replacement(T, per_batch, trials, batches, seed, keys,
-                                    payload=("tokens", "tags"))
+                                    payload=("tokens", "tags"), derive=tag)
     group = [*keys, "trial", "batch"]
     if cross_boundary:
         drawn = picks.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("sid", "tokens", "tags"))).alias("_s"))
