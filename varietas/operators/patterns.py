@@ -8,19 +8,27 @@ samples are merged (union of texts per pattern).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from varietas.operators.ngrams import BUCKET, gram, inner_runs, token_offsets, token_runs
+from varietas.operators.ngrams import BUCKET, gram, inner_runs, run_rows, token_offsets, token_runs
 from varietas.operators.joins import broadcast_if_small
 from varietas.operators.ordering import with_group
+from varietas.operators.runs import distinct_rows
 from varietas.operators.sampling import sample_with_replacement
 from varietas.operators.stats import top_k_per_group
 from varietas.session import checkpoint
 
 DEFAULT_BY = ("ds_name",)
+# Numbers that runs of tags may take before they are numbered anew.
+MOST_RUNS = 1 << 20
 
 
 def _by(by) -> list[str]:
@@ -91,10 +99,59 @@ def common_patterns_full(T: DataFrame, n: int = 4, top_k: int = 5,
         .groupBy(*keys, "pattern").agg(F.count(F.lit(1)).alias("n"))
     top = checkpoint(top_k_per_group(totals, keys, [F.col("n").desc(), F.col("pattern")], top_k,
                                      bucket_col="pattern").select(*keys, "pattern"))
-    runs, _ = token_runs(T, {"token": F.col("tokens"), "tag": F.col("tags")}, n, keys, bucket, placed)
-    # groups x top_k rows: the many texts of a frequent pattern stay where they are
-    hits = runs.withColumn("pattern", pattern).join(broadcast_if_small(top), [*keys, "pattern"], "left_semi")
-    return hits.select(*keys, "pattern", gram("token", n).alias("text")).distinct().drop("_all")
+    rows = run_rows(T, {"token": F.col("tokens"), "tag": F.col("tags")}, n, keys, bucket, placed)
+    # groups x top_k patterns go to the rows; the texts of a task leave it once
+    best = top.groupBy(*keys).agg(F.collect_list("pattern").alias("_best"))
+    named = [f for f in rows.schema.fields if f.name in keys]
+    hits = rows.join(broadcast_if_small(best), keys, "left").select(*keys, "_best", "token", "tag").mapInArrow(
+        _texts_of_best(n, len(keys)), StructType([*named, *[StructField(c, StringType()) for c in ("pattern", "text")]]))
+    return hits.distinct().drop("_all")
+
+
+def _texts_of_best(n: int, n_keys: int):
+    """The ``mapInArrow`` function that gives the distinct texts of each batch
+    that carry one of their group's ``_best`` patterns."""
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(pc.fill_null(batch.column("tag").value_lengths(), 0), np.int64)
+            begin = np.cumsum(sizes) - sizes
+            tags, tokens = (batch.column(c).flatten().dictionary_encode() for c in ("tag", "token"))
+            names = tags.dictionary.to_pylist()
+            tag, token = np.asarray(tags.indices, np.int64), np.asarray(tokens.indices, np.int64)
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*[c.to_pylist() for c in batch.columns[:n_keys]])):
+                groups.setdefault(key, []).append(i)
+            for key, rows in groups.items():
+                best = batch.column("_best")[rows[0]].as_py()
+                starts = np.maximum(sizes[rows] - n + 1, 0)
+                if not best or not starts.sum():
+                    continue
+                at = np.repeat(begin[rows] - np.cumsum(starts) + starts, starts) + np.arange(starts.sum())
+                runs, span = tag[at], len(names)
+                for i in range(1, n):
+                    runs, span = runs * len(names) + tag[at + i], span * len(names)
+                    if span > MOST_RUNS:  # the place of each run of tags among the distinct ones
+                        distinct, runs = np.unique(runs, return_inverse=True)
+                        span = len(distinct)
+                first = np.full(span, -1)
+                first[runs] = at
+                kept = np.zeros(span, np.int64)  # from 1: the best pattern that a distinct run is
+                for run in np.flatnonzero(first >= 0).tolist():
+                    name = " ".join([names[t] for t in tag[first[run]:first[run] + n].tolist()])
+                    if name in best:
+                        kept[run] = best.index(name) + 1
+                hit = np.flatnonzero(kept[runs])
+                columns = [kept[runs[hit]], *[token[at[hit] + i] for i in range(n)]]
+                if not len(hit):
+                    continue
+                found = distinct_rows(columns, max(len(best) + 1, len(tokens.dictionary)).bit_length())
+                words = [tokens.dictionary.take(pa.array(c)) for c in found[1:]]
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array([k] * len(found[0]), t) for k, t in zip(key, batch.schema.types)],
+                     pa.array(best, pa.string()).take(pa.array(found[0] - 1)), pc.binary_join_element_wise(*words, " ")],
+                    [*batch.schema.names[:n_keys], "pattern", "text"])
+
+    return texts
 
 
 def merge_maps(df: DataFrame, map_col: str | Column, by: Sequence[str]) -> DataFrame:
